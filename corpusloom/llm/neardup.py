@@ -30,7 +30,7 @@ WORDS, LEAST_WORDS, THRESHOLD = 3, 30, 0.7
 SEGMENTS, SYMBOLS = 8, 5
 #: Symbols two fingerprints must share of 40: a pair at 0.7 shares 28 on average; fewer than 14 about once in 10^6.
 LEAST_SHARED = 14
-BLOCK = 64
+BLOCK, HOT = 64, 256
 _K = SEGMENTS * SYMBOLS
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 32, _K, dtype=np.uint32) | np.uint32(1)
@@ -149,22 +149,83 @@ def ball_entries(classes: DataFrame) -> DataFrame:
     return classes.select("key", F.explode(F.array(*entries)).alias("entry"))
 
 
+def _near_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b) & np.int64(SKETCH_MASK)) <= MOST_BITS
+
+
+class _Runs:
+    """Pairs from rows sorted by (entry, key) that arrive in batches; runs of more than ``HOT`` keys come out as rows."""
+
+    def __init__(self) -> None:
+        self.entry = self.key = np.empty(0, np.int64)
+        self.hot: int | None = None
+
+    def feed(self, entry: np.ndarray, key: np.ndarray, last: bool = False) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """[(a or entry, b or key, whether these are rows of a hot entry)] of all runs that ended."""
+        out = []
+        if self.hot is not None:  # the run before was hot: its further rows go straight out
+            n = int(np.searchsorted(entry, self.hot, side="right")) if len(entry) and entry[0] == self.hot else 0
+            if n:
+                out.append((entry[:n], key[:n], True))
+                entry, key = entry[n:], key[n:]
+            if len(entry) or last:
+                self.hot = None
+        e, k = np.concatenate([self.entry, entry]), np.concatenate([self.key, key])
+        if len(e):
+            fresh = np.r_[True, (e[1:] != e[:-1]) | (k[1:] != k[:-1])]
+            e, k = e[fresh], k[fresh]
+        starts = np.flatnonzero(np.r_[True, e[1:] != e[:-1]]) if len(e) else np.empty(0, np.int64)
+        sizes = np.diff(np.r_[starts, len(e)])
+        ended = len(e) if last or not len(e) else int(starts[-1])
+        if ended < len(e) and sizes[-1] > HOT:
+            self.hot, ended = int(e[-1]), len(e)
+        self.entry, self.key = e[ended:], k[ended:]
+        e, k = e[:ended], k[:ended]
+        of = np.repeat(sizes, sizes)[:ended]
+        if (of > HOT).any():
+            out.append((e[of > HOT], k[of > HOT], True))
+            e, k = e[of <= HOT], k[of <= HOT]
+        at = np.arange(len(e))
+        for step in range(1, HOT):
+            at = at[at + step < len(e)]
+            at = at[e[at] == e[at + step]]
+            if not len(at):
+                break
+            a, b = k[at], k[at + step]
+            near = _near_keys(a, b)
+            out.append((a[near], b[near], False))
+        return out
+
+
+def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(parts):
+        for x, y, hot in parts:
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), hot))], names=["x", "y", "hot"])
+
+    runs, none = _Runs(), np.empty(0, np.int64)
+    for batch in batches:
+        yield from made(runs.feed(batch.column("entry").to_numpy(), batch.column("key").to_numpy()))
+    yield from made(runs.feed(none, none, last=True))
+
+
 def met_pairs(classes: DataFrame) -> DataFrame:
     """(a, b), a < b: keys that share a table entry and whose sketches are within reach of each other.
 
-    Entries of two keys give their pair from the aggregate itself. Those of more keys read the same exchange
-    again: the keys of one entry are dealt into blocks of about ``BLOCK``, and each block meets all keys.
+    Rows are sorted by entry within their partition and paired as they stream by. Entries of more than ``HOT``
+    distinct keys are not paired there: their keys are dealt into blocks of about ``BLOCK``, and each block meets
+    all keys of the entry in tasks of its own.
     """
-    rows = ball_entries(classes).repartition("entry")
-    met = rows.groupBy("entry").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a < b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(SKETCH_MASK))) <= MOST_BITS
-    twos = met.where("n = 2").where(near).select("a", "b")
-    hot = met.where("n > 2").select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    members = rows.join(hot, "entry")
+    rows = ball_entries(classes).repartition("entry").sortWithinPartitions("entry", "key")
+    met = written(rows.mapInArrow(_run_pairs, "x bigint, y bigint, hot boolean"), "met")
+    hot = met.where("hot").select(F.col("x").alias("entry"), F.col("y").alias("key"))
+    parts = hot.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    members = hot.join(parts, "entry")
     left = members.select("entry", F.col("key").alias("a"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
     right = members.select("entry", F.col("key").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(SKETCH_MASK))) <= MOST_BITS
     more = left.join(right, ["entry", "part"]).where("a < b").where(near).select("a", "b")
-    return twos.unionByName(more).distinct()
+    return met.where("not hot").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(more).distinct()
 
 
 def _filtered(pairs: DataFrame, column: str, schema: str, judge) -> DataFrame:
