@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup, normalize, split
+from corpusloom.llm import leakage, neardup, normalize, split
 from corpusloom.session import tune
 from corpusloom.sources.tables import table
 
@@ -29,7 +29,19 @@ def p7_found(spark, sf_dir):
     return normalize.field_cases(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
 
 
-QUERIES = (p1_found, p1_pieces, p4_found, p7_found)
+def p9_found(spark, sf_dir):
+    return leakage.leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_spans(spark, sf_dir):
+    return leakage.leaked_spans(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_cleaned(spark, sf_dir):
+    return leakage.without_leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = (p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
 
 
 def queries():
