@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, neardup, normalize, split
+from corpusloom.llm import canon, leakage, neardup, normalize, split
 from corpusloom.session import tune
 from corpusloom.sources.tables import table
 
@@ -21,6 +21,18 @@ def p1_found(spark, sf_dir):
     return p1_pieces(spark, sf_dir).where("piece = 1 and n_pieces > 1").select("src", "item_id", "node_path")
 
 
+def p2_found(spark, sf_dir):
+    return p2_mapped(spark, sf_dir).select("id", "doc_code")
+
+
+def p2_mapped(spark, sf_dir):
+    return canon.mapped_records(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
+
+
+def p2_unmatched(spark, sf_dir):
+    return canon.unmatched_names(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
+
+
 def p4_found(spark, sf_dir):
     return neardup.similar_records(_records(spark, sf_dir))
 
@@ -41,7 +53,7 @@ def p9_cleaned(spark, sf_dir):
     return leakage.without_leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = (p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
+QUERIES = (p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
 
 
 def queries():
