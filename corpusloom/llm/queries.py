@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canon, leakage, neardup, normalize, split
+from corpusloom.llm import canon, leakage, mojibake, neardup, normalize, packing, split
 from corpusloom.session import tune
 from corpusloom.sources.tables import table
 
@@ -41,6 +41,26 @@ def p7_found(spark, sf_dir):
     return normalize.field_cases(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
 
 
+def p8_containers(spark, sf_dir):
+    return packing.containers(table(tune(spark), sf_dir, "documents"))
+
+
+def p8_report(spark, sf_dir):
+    return packing.packing_report(p8_containers(spark, sf_dir))
+
+
+def p10_found(spark, sf_dir):
+    return p10_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+def p10_restored(spark, sf_dir):
+    return mojibake.restored(table(tune(spark), sf_dir, "documents"))
+
+
+def p10_transformations(spark, sf_dir):
+    return mojibake.transformations(table(tune(spark), sf_dir, "documents"))
+
+
 def p9_found(spark, sf_dir):
     return leakage.leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -53,7 +73,7 @@ def p9_cleaned(spark, sf_dir):
     return leakage.without_leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = (p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
+QUERIES = (p8_containers, p8_report, p10_found, p10_restored, p10_transformations, p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
 
 
 def queries():
