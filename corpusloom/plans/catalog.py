@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import general
+from corpusloom.plans import general, retrieval
 
-MODULES = (general,)
+MODULES = (general, retrieval)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return general.p5_counts(spark, sf_dir)
+    return retrieval.bm25_family(spark, sf_dir)
