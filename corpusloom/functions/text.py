@@ -80,7 +80,8 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]*>", "")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def softmax_first(a: Column, b: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import general, retrieval
+from corpusloom.plans import corpus, general, retrieval
 
-MODULES = (general, retrieval)
+MODULES = (general, retrieval, corpus)
 
 
 def queries():

@@ -11,8 +11,8 @@ def p3_found(spark, sf_dir):
     return nested.node_links(table(tune(spark), sf_dir, "tree_output"))
 
 
-def p3_nodes(spark, sf_dir):
-    return nested.flat_nodes(table(tune(spark), sf_dir, "tree_output"))
+def p3_nodes(spark, sf_dir, trees=None):
+    return nested.flat_nodes(table(tune(spark), sf_dir, "tree_output") if trees is None else trees)
 
 
 def _orphans(spark, sf_dir):
