@@ -43,6 +43,64 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
     return postings.join(weighted, "term").groupBy("qid", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+#: Questions scored in one pass; more are taken in further passes, so what is broadcast is bounded.
+QUERY_BLOCK = 2048
+
+
+def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, plus: bool = True, tokenize=tokens) -> DataFrame:
+    """The k best items of each question, ranked; the scores are those of ``bm25``.
+
+    The questions are taken in blocks of bounded size against all items: a block's term weights are one matrix, a
+    batch of items is multiplied with it, and only the best of each question leave the batch. So a word that half
+    the corpus holds costs a multiplication, not a row per question and item.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("qtf"))
+    listed = corpus.select("item_id", tokenize(F.col("text")).alias("terms"))
+    wanted = asked.select("term").distinct()
+    frequency = listed.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    weights = asked.join(frequency, "term").select("qid", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * ((k1 + 1) if plus else 1)).alias("w"))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    id_type = corpus.schema["item_id"].dataType
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())])
+    out = None
+    for block in range(n_blocks):
+        rows = weights.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).collect()
+        qids = sorted({r.qid for r in rows})
+        place, terms = {q: i for i, q in enumerate(qids)}, {t: i for i, t in enumerate(sorted({r.term for r in rows}))}
+        matrix = np.zeros((len(terms), len(qids)))
+        for r in rows:
+            matrix[terms[r.term], place[r.qid]] = r.w
+        shared = corpus.sparkSession.sparkContext.broadcast((qids, terms, matrix))
+
+        def run(batches, shared=shared):
+            qids, terms, matrix = shared.value
+            if not qids:
+                return
+            for batch in batches:
+                ids, texts = batch.column("item_id").to_pylist(), batch.column("terms").to_pylist()
+                for low in range(0, len(ids), 512):
+                    part = np.zeros((len(ids[low : low + 512]), len(terms)))
+                    for i, listed in enumerate(texts[low : low + 512]):
+                        for t in listed or ():
+                            if (at := terms.get(t)) is not None:
+                                part[i, at] += 1
+                        part[i] /= part[i] + k1 * (1 - b + b * len(listed or ()) / (avgdl or 1))
+                    scores = np.round(part @ matrix, 6)
+                    keep = min(k, len(scores))
+                    least = np.maximum(np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep], 1e-6)
+                    item, q = np.nonzero(scores >= least)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q.tolist()]), pa.array([ids[low + x] for x in item.tolist()]), pa.array(scores[item, q])], names=["qid", "item_id", "score"])
+
+        found = listed.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k)
+
+
 def knn(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
     """Exact cosine neighbours of the stated query set, rows whose id is divisible by ``every``, against all rows.
 

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from corpusloom.operators import nested, packed, references
 from corpusloom.session import tune
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import table, wide
 
 
 def p3_found(spark, sf_dir):
-    return nested.node_links(table(tune(spark), sf_dir, "tree_output"))
+    return nested.node_links(wide(tune(spark), sf_dir, "tree_output"))
 
 
 def p3_nodes(spark, sf_dir, trees=None):
-    return nested.flat_nodes(table(tune(spark), sf_dir, "tree_output") if trees is None else trees)
+    return nested.flat_nodes(wide(tune(spark), sf_dir, "tree_output") if trees is None else trees)
 
 
 def _orphans(spark, sf_dir):
-    return references.orphans(table(tune(spark), sf_dir, "legal_knowledge_records"), table(spark, sf_dir, "legal_doc_registry"))
+    return references.orphans(wide(tune(spark), sf_dir, "legal_knowledge_records"), table(spark, sf_dir, "legal_doc_registry"))
 
 
 def p5_found(spark, sf_dir):
@@ -28,7 +28,7 @@ def p5_counts(spark, sf_dir):
 
 
 def p6_found(spark, sf_dir):
-    return packed.packed_cases(table(tune(spark), sf_dir, "legal_knowledge_records"))
+    return packed.packed_cases(wide(tune(spark), sf_dir, "legal_knowledge_records"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p5_found, p5_counts, p6_found)}

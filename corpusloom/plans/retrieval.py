@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as X
 from corpusloom.operators import cutoffs, evaluate, ranking
 from corpusloom.session import tune
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import table, wide
 
 
 def _questions(spark, d):
@@ -16,15 +16,15 @@ def _questions(spark, d):
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return wide(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "item_id")
 
 
 def bm25_topk(spark, d):
-    return ranking.top_k(ranking.bm25(_questions(spark, d), _documents(spark, d)), 10)
+    return ranking.bm25_top(_questions(spark, d), _documents(spark, d), 10)
 
 
 def bm25_lucene(spark, d):
-    return ranking.top_k(ranking.bm25(_questions(spark, d), _documents(spark, d), plus=False), 10)
+    return ranking.bm25_top(_questions(spark, d), _documents(spark, d), 10, plus=False)
 
 
 def _plain_tokens(text):
@@ -34,7 +34,7 @@ def _plain_tokens(text):
 def bm25_family(spark, d):
     """Accent-sensitive and accent-free lists, fused by reciprocal rank."""
     q, c = _questions(spark, d), _documents(spark, d)
-    lists = [ranking.top_k(ranking.bm25(q, c), 100), ranking.top_k(ranking.bm25(q, c, tokenize=_plain_tokens), 100)]
+    lists = [ranking.bm25_top(q, c, 100), ranking.bm25_top(q, c, 100, tokenize=_plain_tokens)]
     return ranking.rrf(lists).where("rank <= 10")
 
 
