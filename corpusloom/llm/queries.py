@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import canon, leakage, mojibake, neardup, normalize, packing, split
 from corpusloom.session import tune
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import table, wide
 
 
 def _records(spark, sf_dir):
-    return table(tune(spark), sf_dir, "legal_knowledge_records")
+    return wide(tune(spark), sf_dir, "legal_knowledge_records")
 
 
 def p1_pieces(spark, sf_dir):
-    return split.all_pieces(_records(spark, sf_dir), table(spark, sf_dir, "tree_output"))
+    return split.all_pieces(_records(spark, sf_dir), wide(spark, sf_dir, "tree_output"))
 
 
 def p1_found(spark, sf_dir):
@@ -42,7 +42,7 @@ def p7_found(spark, sf_dir):
 
 
 def p8_containers(spark, sf_dir):
-    return packing.containers(table(tune(spark), sf_dir, "documents"))
+    return packing.containers(wide(tune(spark), sf_dir, "documents"))
 
 
 def p8_report(spark, sf_dir):
@@ -54,23 +54,23 @@ def p10_found(spark, sf_dir):
 
 
 def p10_restored(spark, sf_dir):
-    return mojibake.restored(table(tune(spark), sf_dir, "documents"))
+    return mojibake.restored(wide(tune(spark), sf_dir, "documents"))
 
 
 def p10_transformations(spark, sf_dir):
-    return mojibake.transformations(table(tune(spark), sf_dir, "documents"))
+    return mojibake.transformations(wide(tune(spark), sf_dir, "documents"))
 
 
 def p9_found(spark, sf_dir):
-    return leakage.leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_spans(spark, sf_dir):
-    return leakage.leaked_spans(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_spans(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_cleaned(spark, sf_dir):
-    return leakage.without_leaks(table(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.without_leaks(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 QUERIES = (p8_containers, p8_report, p10_found, p10_restored, p10_transformations, p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p7_found)
