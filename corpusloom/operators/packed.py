@@ -25,7 +25,7 @@ REFERENCE_RULES = [
     rf"(?:(?<=(?:^|{SEP})\s{{0,4}})|(?<={ARTICLE_END})),(?:\s*,)*\s*",
 ]
 LIST_RULES = [r"\s*(?:[,;；、/&\t\r\n]|(?<=\s)(?iu:và|and)(?=\s))(?![^()]*\))\s*"]
-CONTAINER_RULES = [r"\s*,\s*", r"(?<![^\s])(?:null|None|NULL)(?![^\s])"]
+CONTAINER_RULES = [r"\s*,\s*", rf"(?<![^\s{SEP}])(?:null|None|NULL)(?![^\s{SEP}])"]
 _OPENS = r"(?:^|[,;；、/&\t\r\n\[{]|\s(?:và|and)\s)\s*$"
 
 

@@ -64,7 +64,9 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
     n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()
     weights = asked.join(frequency, "term").select("qid", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * ((k1 + 1) if plus else 1)).alias("w"))
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    id_type = corpus.schema["item_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type, qid_type = corpus.schema["item_id"].dataType, to_arrow_type(queries.schema["qid"].dataType)
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())])
     out = None
     for block in range(n_blocks):
@@ -81,9 +83,9 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
             if not qids:
                 return
             for batch in batches:
-                ids, texts = batch.column("item_id").to_pylist(), batch.column("terms").to_pylist()
-                for low in range(0, len(ids), 512):
-                    part = np.zeros((len(ids[low : low + 512]), len(terms)))
+                texts = batch.column("terms").to_pylist()
+                for low in range(0, len(texts), 512):
+                    part = np.zeros((len(texts[low : low + 512]), len(terms)))
                     for i, listed in enumerate(texts[low : low + 512]):
                         for t in listed or ():
                             if (at := terms.get(t)) is not None:
@@ -94,7 +96,7 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
                     least = np.maximum(np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep], 1e-6)
                     item, q = np.nonzero(scores >= least)
                     if len(q):
-                        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q.tolist()]), pa.array([ids[low + x] for x in item.tolist()]), pa.array(scores[item, q])], names=["qid", "item_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q.tolist()], qid_type), batch.column("item_id").take(pa.array(low + item)), pa.array(scores[item, q])], names=["qid", "item_id", "score"])
 
         found = listed.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
