@@ -311,7 +311,7 @@ def systematic_sample(t):
 
 
 # text
-@query(r"SELECT lang, count(*) n_docs, sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) n_tokens FROM documents GROUP BY 1")
+@query(r"SELECT lang, count(*) n_docs, CAST(sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS BIGINT) n_tokens FROM documents GROUP BY 1")
 def tokenize_stats(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(X.tokens(F.col("text")))).alias("n_tokens"))
 
@@ -343,7 +343,7 @@ def html_text(t):
     return t("documents").where(F.col("title").isNotNull() & F.col("lang").isNotNull() & ~F.col("title").rlike(r"[<>\s]{2,}|[<>&]")).select("doc_id", X.html_text(page).alias("body"))
 
 
-@query(r"SELECT doc_id, count(*) n, sum(length(s)) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
+@query(r"SELECT doc_id, count(*) n, CAST(sum(length(s)) AS BIGINT) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
 def sentence_split(t):
     s = parsing.sentences(t("documents").where("lang = 'en'"), "doc_id")
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
