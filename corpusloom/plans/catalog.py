@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, general, retrieval
+from corpusloom.plans import corpus, general, retrieval, rules
 
-MODULES = (general, retrieval, corpus)
+MODULES = (general, retrieval, corpus, rules)
 
 
 def queries():
