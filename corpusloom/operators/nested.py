@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,62 @@ LINK_SCHEMA = "hash binary, height int, root_of bigint, kids array<struct<hash:b
 FIELD_SCHEMA = "id string, content string, type string, number string, level double, is_edit boolean, num_tokens bigint"
 
 
+_SCALAR = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def parsed(text: str):
+    """``json.loads`` for any depth: beyond what that can nest, an explicit stack takes over. ValueError if broken."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    stack: list = [[]]  # open containers; an object is [dict, key or None]
+    at, due = _BLANK.match(text, 0).end(), "value"
+
+    def close(value) -> None:
+        top = stack[-1]
+        if isinstance(top, list):
+            top.append(value)
+        else:
+            top["fields"][top["key"]] = value
+
+    while at < len(text):
+        c, top = text[at], stack[-1]
+        if c in "[{" and due in ("value", "first"):
+            stack.append([] if c == "[" else {"fields": {}, "key": None})
+            due, at = "first" if c == "[" else "firstkey", at + 1
+        elif (c == "]" and isinstance(top, list) and due in ("first", "next")) or (c == "}" and isinstance(top, dict) and due in ("firstkey", "next")):
+            done = stack.pop()
+            if not stack:
+                raise ValueError("a bracket too many")
+            close(done if isinstance(done, list) else done["fields"])
+            due, at = "next", at + 1
+        elif c == "," and due == "next" and len(stack) > 1:
+            due, at = "value" if isinstance(top, list) else "key", at + 1
+        elif c == '"' and due in ("key", "firstkey"):
+            top["key"], at = json.decoder.scanstring(text, at + 1)
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon is missing")
+            due, at = "value", at + 1
+        elif due in ("value", "first"):
+            if c == '"':
+                value, at = json.decoder.scanstring(text, at + 1)
+            elif m := _SCALAR.match(text, at):
+                value, at = json.loads(m[0]), m.end()
+            else:
+                raise ValueError("no value")
+            close(value)
+            due = "next"
+        else:
+            raise ValueError("out of place")
+        at = _BLANK.match(text, at).end()
+    if len(stack) != 1 or len(stack[0]) != 1:
+        raise ValueError("not one value")
+    return stack[0][0]
+
+
 def children_of(node: dict) -> list:
     """The child list of a node, native or in JSON; null, blank and broken JSON mean no children."""
     kids = node.get("children")
@@ -32,7 +89,7 @@ def children_of(node: dict) -> list:
         if not text or not text.strip():
             return []
         try:
-            kids = json.loads(text)
+            kids = parsed(text)
         except ValueError:
             return []
     return kids if isinstance(kids, list) else []

@@ -119,6 +119,34 @@ def test_nested_paths_and_identity(spark):
     assert nested.node_links(trees.limit(0)).count() == 0
 
 
+def test_nested_json_of_any_depth(monkeypatch):
+    depth = 20_000
+    text = '[{"id": "x", "children": ' * depth + "[null]" + "}]" * depth
+    nodes = list(nested.walk_up({"children_json": text}))
+    assert len(nodes) == depth + 1 and nodes[-1][2] == depth
+    samples = ['[1, -2.5e3, "a\\"\\u00e9", true, null, [], {}, {"k": [{"z": {}}]}]', " [ ] ", '{"a": 1}', "[1,]", "[1 2]", '{"a"}', "[", "]", "[1]]", ""]
+    wants = []
+    for s in samples:
+        try:
+            wants.append(json.loads(s))
+        except ValueError:
+            wants.append(ValueError)
+    real = json.loads
+
+    def refuse(s):
+        if s.strip()[:1] in ("[", "{", "]", ""):
+            raise RecursionError
+        return real(s)
+
+    monkeypatch.setattr(nested.json, "loads", refuse)
+    for s, want in zip(samples, wants, strict=True):
+        if want is ValueError:
+            with pytest.raises(ValueError):
+                nested.parsed(s)
+        else:
+            assert nested.parsed(s) == want
+
+
 def test_level_parents(spark):
     levels = [0, 1, 2, 2, 1, 3, 0, 2]
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate(levels)], "g int, pos int, level int")
