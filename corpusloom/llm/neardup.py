@@ -286,6 +286,46 @@ def class_members(signatures: DataFrame) -> DataFrame:
     return first.select("id", F.col("f.class").alias("class")).where("class is not null")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b) that is not the least of its connected component: that least node.
+
+    Large and small stars in turn: each node hangs its larger, then its smaller neighbours on the least one it sees,
+    which leaves the components as they are and ends, after few rounds, when every edge leads to a root. Rounds are
+    written; the driver only sees whether one more is needed.
+    """
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "edges")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = written(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        twice = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        inner = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+        if twice.unionByName(inner).isEmpty():
+            return edges.withColumnsRenamed({"a": "node", "b": "root"})
+
+
+def similar_groups(records: DataFrame) -> DataFrame:
+    """(id, group) of every record: the least id it is linked to through records of similarity 0.7 or more, else its own.
+
+    Only earliest deliveries link: a class that holds later deliveries alone is no record.
+    """
+    signatures = written(signed(records), "signed")
+    first = written(signatures.groupBy("id").agg(F.min(F.struct("at", "class")).alias("f")).select("id", "f.class"), "first")
+    members = first.where("class is not null")
+    pairs = similar_classes(signatures).select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("class").alias(side)), side, "left_semi")
+    roots = components(pairs).withColumnRenamed("node", "class")
+    joined = members.join(roots, "class", "left").select("id", F.coalesce("root", "class").alias("root"))
+    heads = joined.groupBy("root").agg(F.min("id").alias("group"))
+    alone = first.where("class is null").select("id", F.col("id").alias("group"))
+    return joined.join(heads, "root").select("id", "group").unionByName(alone)
+
+
 def similar_records(records: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two records of similarity 0.7 or more, equal contents included."""
     signatures = written(signed(records), "signed")

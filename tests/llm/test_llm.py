@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import canon, leakage, mojibake, neardup, normalize, packing, split
 
@@ -148,6 +149,41 @@ def test_similar_records_against_brute_force(spark):
     assert neardup.similar_records(records(spark, [])).count() == 0
 
 
+def test_similar_groups_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for step in range(rng.randint(1, 9)):  # a chain: its ends are not similar to each other
+            words = words[8:] + [f"f{family}s{step}x{i}" for i in range(8)]
+            rows.append((rng.randrange(10**6), "", " ".join(words)))
+    rows += [(5, "", rows[3][2].upper()), (6, "", None), (7, "", ""), (8, "", "short " * 29), rows[4], (None, "", rows[0][2])]
+    # a later delivery of record 21 is between 20 and 22: no link
+    late = [[f"l{i}" for i in range(low, low + 100)] for low in (0, 14, 28)]
+    rows += [(20, "", " ".join(late[0])), (21, "", "other " * 40), (22, "", " ".join(late[2]))]
+    df = records(spark, rows).unionByName(records(spark, [(21, "", " ".join(late[1]))]).withColumn("ingested_at", F.lit(AT + dt.timedelta(days=1))))
+    texts = {i: t for i, _, t in rows if i is not None}
+    sets = {i: frozenset(zip(w, w[1:], w[2:])) for i, t in texts.items() if len(w := normalize.words(t)) >= 30}
+    want = {i: i for i in texts}
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7 and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = {i: low if g == high else g for i, g in want.items()}
+    got = [tuple(r) for r in neardup.similar_groups(df).collect()]
+    assert len(got) == len(want) and dict(got) == want and len(set(want.values())) < 25
+    assert neardup.similar_groups(records(spark, [])).count() == 0
+
+
+def test_components_of_chains(spark):
+    n = 300
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(n - 1) if i % 100 != 99] + [(7, 7)]
+    got = {r.node: r.root for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: m for k in (0, 100, 200) for x in order[k : k + 100] if x != (m := min(order[k : k + 100]))}
+
+
 def test_hot_table_entries_stream_in_runs():
     rng = np.random.default_rng(1)
     entry = np.sort(rng.integers(0, 40, 3000))
