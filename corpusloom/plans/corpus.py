@@ -412,11 +412,22 @@ def subtree_totals(t):
     return up.groupBy("tree_id", F.array_join(F.slice("s", 1, F.col("k")), ".").alias("node_path")).agg(F.sum("own").alias("n_words"))
 
 
+def _tree_parents(events):
+    e = events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("grp"), F.floor("value").cast("int").alias("r")).withColumn("lvl", F.col("r") % 5)
+    return parsing.level_parents(e, "grp", "pos", "lvl", [-4, -3, -2, -1, 0, 1, 2, 3, 4]).select("grp", "pos", "parent_pos")
+
+
 @query("WITH e AS (SELECT event_id pos, user_id grp, CAST(floor(value) AS INTEGER) % 5 lvl FROM events WHERE user_id < 20) SELECT a.grp, a.pos, max(b.pos) parent_pos FROM e a LEFT JOIN e b ON a.grp = b.grp AND b.pos < a.pos AND b.lvl < a.lvl GROUP BY 1, 2")
 def tree_parent(t):
     """Parents by level, nearest earlier node of a smaller one, on event streams read as outlines."""
-    e = t("events").where("user_id < 20").select(F.col("event_id").alias("pos"), F.col("user_id").alias("grp"), F.floor("value").cast("int").alias("r")).withColumn("lvl", F.col("r") % 5)
-    return parsing.level_parents(e, "grp", "pos", "lvl", [-4, -3, -2, -1, 0, 1, 2, 3, 4]).select("grp", "pos", "parent_pos")
+    return _tree_parents(t("events").where("user_id < 20"))
+
+
+@query()
+def tree_parent_all(t):
+    """``tree_parent`` over every event; an event without user has no parent."""
+    p = _tree_parents(t("events"))
+    return p.withColumn("parent_pos", F.when(F.col("grp").isNotNull(), F.col("parent_pos")))
 
 
 @query(r"SELECT DISTINCT {c} old_code, code new_code FROM (SELECT law_id, unnest(regexp_extract_all(law_name, '\d{{1,4}}/\d{{4}}/\p{{Lu}}+(?:-\p{{Lu}}+)?')) code FROM legal_knowledge_records) WHERE {c} IS NOT NULL AND {c} <> code".format(c=_CODE_SQL.format(c="law_id")))
