@@ -345,7 +345,17 @@ def html_text(t):
 
 @query(r"SELECT doc_id, count(*) n, CAST(sum(length(s)) AS BIGINT) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
 def sentence_split(t):
-    s = parsing.sentences(t("documents").where("lang = 'en'"), "doc_id")
+    return _sentence_counts(t("documents").where("lang = 'en'"))
+
+
+@query()
+def sentence_split_all(t):
+    """``sentence_split`` over the documents of every language, and of none."""
+    return _sentence_counts(t("documents"))
+
+
+def _sentence_counts(documents):
+    s = parsing.sentences(documents, "doc_id")
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
 
 

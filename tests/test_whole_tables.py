@@ -1,6 +1,7 @@
 """Queries over whole tables, which no SQL checks, against brute force on small tables."""
 
 import random
+import re
 
 from corpusloom.plans.corpus import QUERIES
 
@@ -21,3 +22,15 @@ def test_tree_parents_of_all_users(spark, tmp_path):
     got = run(spark, tmp_path, "tree_parent_all", "events", rows, "event_id bigint, user_id bigint, value double")
     assert {r.pos: (r.grp, r.parent_pos) for r in got} == want and len(got) == 300
     assert sum(1 for u, p in want.values() if p is not None and u >= 20) > 30
+
+
+def test_sentences_of_all_languages(spark, tmp_path):
+    texts = ["Một câu. Hai  câu!\tBa\n\nBốn?", "One. Two.Three", "  \n ", "", None, "Điều 1.\nKho \u00a0 bến. ", "?! x"]
+    rows = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for lang in ("vi", None, "en") for t in texts)]
+    want = {}
+    for i, _, t in rows:
+        parts = [p for p in (re.sub(r"[ \t\n\x0b\f\r]+", " ", p).strip(" ") for p in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", t or "")) if p]
+        if parts:
+            want[i] = (len(parts), sum(map(len, parts)))
+    got = run(spark, tmp_path, "sentence_split_all", "documents", rows, "doc_id bigint, lang string, text string")
+    assert {r.doc_id: (r.n, r.n_chars) for r in got} == want and len(want) == 12
