@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
 from corpusloom.operators import parsing, references, validity
-from corpusloom.operators.packed import references_of
+from corpusloom.operators.packed import articles_of, references_of
 from corpusloom.plans.general import ORACLE as GENERAL, p3_nodes
 from corpusloom.session import tune
 from corpusloom.sources.tables import first_delivery, table
@@ -261,7 +261,18 @@ def mode_vote(t):
 def gap_detect(t):
     """Article numbers missing between the first and the last of a law, counted from distinct numbers."""
     number = F.nullif(F.regexp_extract("article", r"(?iu)^điều (\d{1,9})$", 1), F.lit("")).cast("bigint")
-    n = t("legal_knowledge_records").select(references.law_code(F.col("law_id")).alias("law"), number.alias("no")).where("law is not null and no is not null").distinct()
+    return _gaps(t("legal_knowledge_records").select(references.law_code(F.col("law_id")).alias("law"), number.alias("no")))
+
+
+@query()
+def gap_detect_all(t):
+    """``gap_detect`` over every value of the article fields, however written or packed; '22a' supplies 22."""
+    rows = t("legal_knowledge_records").select(references.law_code(F.col("law_id")).alias("law"), F.explode(articles_of(F.col("article"))).alias("value"))
+    return _gaps(rows.select("law", references.article_key(F.col("value"))["number"].alias("no")))
+
+
+def _gaps(numbers):
+    n = numbers.where("law is not null and no is not null").distinct()
     s = n.groupBy("law").agg(F.count("*").alias("n"), (F.max("no") - F.min("no") + 1 - F.count("*")).alias("missing"))
     return s.where("n >= 3 and missing > 0").select("law", "missing")
 

@@ -34,3 +34,21 @@ def test_sentences_of_all_languages(spark, tmp_path):
             want[i] = (len(parts), sum(map(len, parts)))
     got = run(spark, tmp_path, "sentence_split_all", "documents", rows, "doc_id bigint, lang string, text string")
     assert {r.doc_id: (r.n, r.n_chars) for r in got} == want and len(want) == 12
+
+
+def test_gaps_of_all_spellings(spark, tmp_path):
+    fields = {
+        "1/2030/LX": [("Điều 1", [1]), ("66", [66]), ("Điều  68", [68]), ("ĐIỀU 44.", [44]), ("Điều 39 (khoản 1, 5)", [39]), ('"Điều 5","Điều 6"', [5, 6]), ("22a", [22])],
+        "2/2030/LX": [('["Điều 2", "Điều 4b"]', [2, 4]), ("Điều 6/7", [6, 7]), ("Điều 8, 9 và 11", [8, 9, 11]), (None, []), ("phụ lục", [])],
+        "3/2030/LX": [("Điều 3\nĐiều 9", [3, 9])],
+        "4/2030/LX": [("1 & 2; 3", [1, 2, 3])],
+        None: [("Điều 1; 5; 9", [1, 5, 9])],
+    }
+    want = {}
+    for law, listed in fields.items():
+        have = {n for _, numbers in listed for n in numbers}
+        if law and len(have) >= 3 and (missing := set(range(min(have), max(have) + 1)) - have):
+            want[law] = len(missing)
+    rows = [(law and law.lower() + " ", a) for law, listed in fields.items() for a, _ in listed]
+    got = run(spark, tmp_path, "gap_detect_all", "legal_knowledge_records", rows, "law_id string, article string")
+    assert {r.law: r.missing for r in got} == want and len(want) == 2
