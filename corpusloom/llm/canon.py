@@ -30,6 +30,9 @@ TEMPLATE_SHARE = 0.03
 #: Trigrams a shortcut or an initial may cost a key beyond those its edits cost.
 SLACK = 8
 _CODE = re.compile(r"(\d{1,4})\s*/\s*(\d{4})\s*/\s*([a-z]{1,5}(?:\s*-\s*[a-z]{1,5})?)")
+#: A code tail with digits too many or too few.
+_NEAR_CODE = re.compile(r"(?:\bso\s+)?\b\d{1,6}\s*/\s*\d{1,6}\s*/\s*[a-z]{1,5}(?:\s*-\s*[a-z]{1,5})?\b")
+_SO = re.compile(r"\bso\s+(?=\d{1,6}\s*/)")
 _BRACKETS = re.compile(r"\([^()]*\)?|\[[^\[\]]*\]?")
 _YEAR = re.compile(r",?\s*(?:\bn[aă]m\s+)?\b(?:19|20)\d\d\b\s*[.,]?\s*$")
 _CUT = re.compile(r"(?:\.{2,}|…|\bv\s*\.\s*v\b\.?)")
@@ -73,20 +76,27 @@ def spellings(name: str) -> tuple[list[str], bool, list[str], str]:
         text = _TELEX_WORD.sub(_untelex_word, text)
     text = fold(text)
     if codes:
-        text = _CODE.sub(" ", re.sub(r"\bso\s+(?=\d{1,4}\s*/)", " ", text))
+        text = _CODE.sub(" ", _SO.sub(" ", text))
     cut = bool(_CUT.search(text))
     text = _CUT.sub(" ", text).strip(" .,;:-")
+    whole = squeezed(_SO.sub(" ", _trimmed(_trimmed(text))))
+    text = _NEAR_CODE.sub(" ", text)
     for _ in range(2):
         text = _bare(text)
     keys = [squeezed(text)]
     for m in _PART.finditer(text):
         left, right = _bare(text[: m.start()]), _bare(text[m.end() :])
         keys += [squeezed(right + left), squeezed(left)]
+    keys.append(whole)  # a year or a mistyped code may be part of the entry's spelling
     return [k for k in dict.fromkeys(keys) if k], cut, codes, text
 
 
+def _trimmed(text: str) -> str:
+    return _ADDITION.sub("", text.strip(" .,;:-")).strip(" .,;:-")
+
+
 def _bare(text: str) -> str:
-    return _ADDITION.sub("", _YEAR.sub("", text.strip(" .,;:-")).strip(" .,;:-")).strip(" .,;:-")
+    return _trimmed(_YEAR.sub("", text.strip(" .,;:-")))
 
 
 class _Node:
@@ -136,8 +146,7 @@ class Registry:
                 if k == 0:
                     for key in spellings(name)[0][:1]:
                         self.exact.setdefault(key, set()).add(n)
-                if not any(c.isdigit() for c in "".join(listed)):
-                    folded.append((n, listed))
+                folded.append((n, listed))
         self.longest = max(map(len, self.exact), default=0)
         self.vocabulary = set().union(*self.words) if self.words else set()
         self.gram_rows = {g: r for r, g in enumerate(grams)}

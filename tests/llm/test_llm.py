@@ -98,6 +98,26 @@ def test_names_are_resolved(name, code):
     assert canon.Registry(ENTRIES).resolve(name)[0] == code
 
 
+NUMBERED = [*ENTRIES, ("5/2036/KH", "Kế hoạch phát triển bến đò nội đồng 2036", None), ("5/2037/KH", "Kế hoạch phát triển bến đò nội đồng 2037", None), ("6/2034/NQ", "Nghị quyết 12 về thả diều trên đê sông", None), ("7/2035/QD", "Quyết định cấp vé", ["Quyết định 127/2035/QD"])]
+
+
+@pytest.mark.parametrize(
+    ("name", "code"),
+    [
+        ("Ke hoach phat trien ben do noi dong 2037", "5/2037/KH"),
+        ("Kế hoạch phát triển bến đò nội đồngg 2036", "5/2036/KH"),
+        ("Nghị quyết 12 về thả diềuu trên đê sông", "6/2034/NQ"),
+        ("Luat Bao hiem thap chuong bai giua so 01/203/LX", "1/2030/LX"),
+        ("Luật Bảo hiểm tháp chuôngg bãi giữa số 01/20300/LX", "1/2030/LX"),
+        ("Quyết định 127/20355/QD", "7/2035/QD"),
+        ("Kế hoạch phát triển bến đò nội đồng", ""),
+        ("Quyết định 128/2035/QD", ""),
+    ],
+)
+def test_numbers_in_names(name, code):
+    assert canon.Registry(NUMBERED).resolve(name)[0] == code
+
+
 def test_equal_names_are_no_case():
     trie = canon.Registry(ENTRIES)
     assert all(trie.resolve(n) is None for n in ("", "  ", "luật  BẢO hiểm tháp chuông bãi giữa ", "Luật 1/2030/LX"))
