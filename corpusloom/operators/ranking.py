@@ -131,13 +131,19 @@ def knn(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
                     continue
                 items = batch.column("item_id").to_numpy()
                 vals = batch.column("vector")
-                mat = unit(vals.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1))
+                order = np.argsort(items)
+                mat = unit(vals.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1))[order]
+                items = items[order]
+                # whole millionths, equal ones in the order of their ids: the k best of the batch are exact
                 scores = matrix @ mat.T
-                scores[ids[:, None] == items[None, :]] = -2.0
-                keep = min(k + 5, len(items))
-                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                scores[(ids[:, None] == items[None, :]) | np.isnan(scores)] = -2.0
+                scores *= 1e6
+                np.rint(scores, out=scores)
+                keys = np.arange(len(items)) - scores * len(items)
+                keep = min(k, len(items))
+                best = np.argpartition(keys, keep - 1, axis=1)[:, :keep]
                 q = np.repeat(ids, keep)
-                s = np.take_along_axis(scores, best, 1).ravel()
+                s = np.take_along_axis(scores, best, 1).ravel() / 1e6 + 0.0
                 ok = s > -1.5
                 yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(items[best.ravel()][ok]), pa.array(s[ok])], names=["qid", "item_id", "score"])
 
@@ -145,7 +151,7 @@ def knn(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], schema)
-    return top_k(out.withColumn("score", F.round("score", 6)), k)
+    return top_k(out, k)
 
 
 def rrf(lists: list[DataFrame], k: int = 60, base: int = 1, weights: list[float] | None = None) -> DataFrame:

@@ -44,3 +44,21 @@ def test_two_stage_neighbours(spark):
     exact = {(r.qid, r.item_id) for r in ranking.knn(vectors).collect()}
     found = {(r.qid, r.item_id) for r in sequential.knn_two_stage(vectors).collect()}
     assert len(exact & found) / len(exact) >= 0.95
+
+
+def test_equal_neighbours_by_id(spark):
+    """Many identical vectors, in an order unlike that of their ids: the smallest ids win, at any batch size."""
+    rng = random.Random(8)
+    ids = rng.sample(range(1, 5000), 300)
+    rows = [(i, [1.0, 2.0, 3.0] if n % 3 else [rng.gauss(0, 1) for _ in range(3)]) for n, i in enumerate(ids)] + [(0, [1.0, 2.0, 3.0])]
+    copies = sorted(i for i, v in rows if v == [1.0, 2.0, 3.0])
+    vectors = spark.createDataFrame(rows, "item_id bigint, vector array<float>").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (size, "64"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for found in (ranking.knn(vectors), sequential.knn_two_stage(vectors)):
+                got = [r.item_id for r in found.where("qid = 0").orderBy("rank").collect()]
+                assert got == copies[1:11]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
