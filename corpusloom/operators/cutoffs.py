@@ -17,10 +17,11 @@ def fixed(df: DataFrame, threshold: float, k: int) -> DataFrame:
     return df.withColumn("_n", kept).where(F.when(F.col("_n") >= half, F.col("score") >= threshold).otherwise(F.col("rank") <= half)).drop("_n")
 
 
-def relative(df: DataFrame, ratio: float, least: int = 1, most: int = 10, absolute: float = float("-inf")) -> DataFrame:
-    """Scores of at least max(absolute, ratio * top), between ``least`` and ``most`` items."""
+def relative(df: DataFrame, ratio: float, least: int = 1, most: int | None = 10, absolute: float = float("-inf")) -> DataFrame:
+    """Scores of at least max(absolute, ratio * top), between ``least`` and ``most`` items; no maximum if None."""
     cut = F.greatest(F.lit(absolute), ratio * F.max("score").over(_by_query()))
-    return df.withColumn("_cut", cut).where((F.col("rank") <= least) | ((F.col("score") >= F.col("_cut")) & (F.col("rank") <= most))).drop("_cut")
+    kept = (F.col("score") >= F.col("_cut")) if most is None else (F.col("score") >= F.col("_cut")) & (F.col("rank") <= most)
+    return df.withColumn("_cut", cut).where((F.col("rank") <= least) | kept).drop("_cut")
 
 
 def margin(df: DataFrame, top: int, least_score: float, within: float) -> DataFrame:

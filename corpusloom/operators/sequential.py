@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.cutoffs import quota
 from corpusloom.operators.ranking import top_k
 
 
@@ -42,7 +43,8 @@ def joined_lines(text: Column) -> Column:
 def greedy_diverse(df: DataFrame, group: str, target: int = 4, per_group: int = 2, gaps: tuple[float, ...] = (0.34, 0.40, 0.54, 0.80)) -> DataFrame:
     """Per question: the first item, then by rank those of at least ``gaps[position]`` of the best score, few of a group.
 
-    The candidates of one question (a ranked list, bounded by the cut before) are taken in order in one task.
+    Only the best ``per_group`` of a group can be chosen: what fails its gap stops all lower scores as well. These
+    candidates of one question are taken in order in one task.
     """
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +58,7 @@ def greedy_diverse(df: DataFrame, group: str, target: int = 4, per_group: int =
                 used[g] = used.get(g, 0) + 1
         return part.loc[chosen]
 
-    return df.groupBy("qid").applyInPandas(pick, df.schema)
+    return quota(df, group, per_group).groupBy("qid").applyInPandas(pick, df.schema)
 
 
 def knn_two_stage(vectors: DataFrame, every: int = 20, k: int = 10, prefetch: int = 10) -> DataFrame:

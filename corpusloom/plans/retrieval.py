@@ -74,7 +74,7 @@ rank_topk = _cut(lambda r: r.where("rank <= 3"))
 cut_fixed = _cut(lambda r: cutoffs.fixed(r, 0.8, 4))
 cut_ratio = _cut(lambda r: cutoffs.relative(r, 0.3, 1, 5))
 cut_adaptive = _cut(lambda r: cutoffs.relative(r, 0.7, 2, 6, absolute=0.4))
-cut_keep_ratio = _cut(lambda r: cutoffs.relative(r.where("score > 0"), 0.9, 2, 1000))
+cut_keep_ratio = _cut(lambda r: cutoffs.relative(r.where("score > 0"), 0.9, 2, None))
 cut_margin = _cut(lambda r: cutoffs.margin(r, 5, 0.3, 0.15))
 cut_softfloor = _cut(lambda r: cutoffs.relative(r, 0.0, 1, 7, absolute=0.38))
 largest_gap = _cut(lambda r: cutoffs.largest_gap(r, 2, 0.05))

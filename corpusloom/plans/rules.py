@@ -30,7 +30,7 @@ def line_repair(spark, d):
 
 
 def greedy_select(spark, d):
-    return sequential.greedy_diverse(_orders(spark, d).where("rank <= 20"), "grp").select("qid", "item_id", "score", "rank")
+    return sequential.greedy_diverse(_orders(spark, d), "grp").select("qid", "item_id", "score", "rank")
 
 
 def knn_prefetch(spark, d):

@@ -1,9 +1,12 @@
 """Queries over whole tables, which no SQL checks, against brute force on small tables."""
 
+import datetime as dt
 import random
 import re
 
-from corpusloom.plans.corpus import QUERIES
+from corpusloom.plans import corpus, retrieval, rules
+
+QUERIES = corpus.QUERIES | retrieval.QUERIES | rules.QUERIES
 
 
 def run(spark, folder, query, name, rows, schema):
@@ -52,3 +55,32 @@ def test_gaps_of_all_spellings(spark, tmp_path):
     rows = [(law and law.lower() + " ", a) for law, listed in fields.items() for a, _ in listed]
     got = run(spark, tmp_path, "gap_detect_all", "legal_knowledge_records", rows, "law_id string, article string")
     assert {r.law: r.missing for r in got} == want and len(want) == 2
+
+
+ORDERS = "o_custkey bigint, o_orderkey bigint, o_totalprice double, o_orderpriority string, o_orderstatus string, o_orderdate date"
+
+
+def orders(rows):
+    return [(customer, key, score * 524288, group, "O", dt.date(1995, 1, 1)) for customer, key, score, group in rows]
+
+
+def test_keep_ratio_has_no_maximum(spark, tmp_path):
+    rows = [(1, i, 1 - i / 20000, "a") for i in range(1500)] + [(1, 5000, 0.5, "a"), (2, 6000, 1.0, "a"), (2, 6001, 0.1, "a"), (2, 6002, 0.05, "a")]
+    got = run(spark, tmp_path, "cut_keep_ratio", "orders", orders(rows), ORDERS)
+    assert {r.item_id for r in got} == {*range(1500), 6000, 6001} and len(got) == 1502
+
+
+def test_greedy_select_sees_every_group(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(1, i, 1 - i / 1000, "a") for i in range(40)] + [(1, 50, 0.9, "b"), (1, 51, 0.6, "c"), (1, 52, 0.5, "d")]
+    rows += [(c, 100 * c + i, rng.choice([1.0, 0.7, 0.45, rng.random()]), rng.choice("aaaaaabc")) for c in range(2, 30) for i in range(60)]
+    want = set()
+    for c in {r[0] for r in rows}:
+        listed = sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], r[1]))
+        chosen = []
+        for r in listed:
+            if len(chosen) < 4 and (not chosen or (sum(x[3] == r[3] for x in chosen) < 2 and r[2] >= (0.34, 0.40, 0.54, 0.80)[len(chosen) - 1] * listed[0][2])):
+                chosen.append(r)
+        want |= {r[:2] for r in chosen}
+    got = run(spark, tmp_path, "greedy_select", "orders", orders(rows), ORDERS)
+    assert {(r.qid, r.item_id) for r in got} == want and {(1, 0), (1, 1), (1, 50), (1, 51)} <= want
