@@ -2,8 +2,12 @@
 
 Every object is canonicalised and hashed bottom-up: its own fields and the hashes of its children, with their
 places, make its identity (a Merkle hash). Identical objects are stored once; every occurrence is kept by
-bridge rows (parent hash, place, child hash) and is written out again by walking the bridge from the roots.
-A tree is one row and is taken apart in one pass; nothing else is ever gathered by tree.
+bridge rows (parent's place, ordinal, child hash) and is written out again by walking the bridge from the roots.
+
+The bridge rows of a subtree are kept together, in one row under the hash of its topmost object, up to a number of
+nodes that the subtree itself determines; below it, subtrees are entered by their own hash. So equal subtrees are cut
+alike, most trees are walked by one join, and a tree of any depth by few. A tree is one row and is taken apart in one
+pass; nothing else is ever gathered by tree.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from corpusloom.session import written
 
 TEXTS = ("id", "content", "type", "number")
 FIELDS = (*TEXTS, "level", "is_edit", "num_tokens")
-LINK_SCHEMA = "hash binary, height int, root_of bigint, kids array<struct<hash:binary,leaf:boolean>>"
+LINK_SCHEMA = "hash binary, height int, root_of bigint, levels int, broken boolean, below array<struct<above:string,pos:int,hash:binary,open:boolean,broken:boolean>>"
 FIELD_SCHEMA = "id string, content string, type string, number string, level double, is_edit boolean, num_tokens bigint"
-
+#: Nodes whose bridge rows are kept together; one more for every 16 levels below, so that deep chains take few joins.
+FRAGMENT = 256
+#: Joins of the walk that may stand in one plan; after them the frontier is written.
+STEPS = 4
 
 _SCALAR = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
 _BLANK = re.compile(r"[ \t\n\r]*")
@@ -81,22 +88,36 @@ def parsed(text: str):
     return stack[0][0]
 
 
-def children_of(node: dict) -> list:
-    """The child list of a node, native or in JSON; null, blank and broken JSON mean no children."""
+def children_of(node: dict) -> tuple[list, bool]:
+    """(the child list of a node, native or in JSON; whether it was there but could not be read).
+
+    Null and blank mean no children. Broken JSON, or anything but a list, gives no children and is reported.
+    """
     kids = node.get("children")
     if kids is None:
         text = node.get("children_json")
-        if not text or not text.strip():
-            return []
+        if text is None or (isinstance(text, str) and not text.strip()):
+            return [], False
         try:
             kids = parsed(text)
-        except ValueError:
-            return []
-    return kids if isinstance(kids, list) else []
+        except (TypeError, ValueError):
+            return [], True
+        if kids is None:
+            return [], False
+    return (kids, False) if isinstance(kids, list) else ([], True)
+
+
+def _text(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return value
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return None
 
 
 def own_fields(node: dict) -> tuple:
-    """The typed fields of a node; what cannot be read as its type is null."""
+    """The typed fields of a node; what cannot be read as its type is null, as is a text too deep to be printed."""
 
     def number(value, kind):
         try:
@@ -104,36 +125,79 @@ def own_fields(node: dict) -> tuple:
         except (TypeError, ValueError, OverflowError):
             return None
 
-    texts = [None if (v := node.get(k)) is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k in TEXTS]
+    texts = [_text(node.get(k)) for k in TEXTS]
     edit = node.get("is_edit")
     tokens = number(node.get("num_tokens"), int)
     return (*texts, number(node.get("level"), float), edit if isinstance(edit, bool) else None, tokens if tokens is None or abs(tokens) < 1 << 63 else None)
 
 
-def walk_up(root: dict) -> Iterator[tuple[dict, bytes, int, list]]:
-    """(node, hash, height, [(child hash, leaf) or None]) of all nodes, children first; no recursion, any depth."""
-    done: dict[int, tuple[bytes, int]] = {}
-    stack = [(root, children_of(root), False)]
+class Object:
+    """An object of a tree: its hash and, as long as it is not ``open``, the objects below it."""
+
+    __slots__ = ("broken", "hash", "height", "kids", "levels", "node", "open", "size")
+
+    def __init__(self, node: dict, kids: list[Object | None], broken: bool) -> None:
+        own = json.dumps([*own_fields(node), [k and k.hash.hex() for k in kids]], ensure_ascii=False)
+        self.hash = hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.node, self.kids, self.broken, self.open = node, kids, broken, False
+        there = [k for k in kids if k]
+        self.height = 1 + max((k.height for k in there), default=-1)
+        self.size = 1 + sum(1 if k.open else k.size for k in there)
+        #: joins that lead from here to the last node below
+        self.levels = max((k.levels + k.open for k in there), default=0)
+
+    def cut(self, fragment: int) -> list[Object]:
+        """Opens the children that have children themselves if the bridge rows from here on are too many."""
+        if self.size <= fragment + self.height // 16:
+            return []
+        opened = [k for k in self.kids if k and k.kids]
+        for k in opened:
+            k.open = True
+        self.size = 1 + sum(k is not None for k in self.kids)
+        self.levels = max((k.levels + k.open for k in self.kids if k), default=0)
+        return opened
+
+    def below(self) -> list[dict]:
+        """The bridge rows down to the next open objects: place of the parent, ordinal, child."""
+        rows, stack = [], [("", self)]
+        while stack:
+            above, top = stack.pop()
+            for pos, k in enumerate(top.kids):
+                if k:
+                    rows.append({"above": above, "pos": pos, "hash": k.hash, "open": k.open, "broken": k.broken})
+                    if k.kids and not k.open:
+                        stack.append((f"{above}.{pos}", k))
+        return rows
+
+
+def walk_up(root: dict, fragment: int = FRAGMENT) -> Iterator[tuple[Object, list[dict] | None]]:
+    """(object, bridge rows or None) of all nodes, children first, the root last; no recursion, any depth.
+
+    Bridge rows come with the root and with the objects that are entered by their own hash; the latter come twice.
+    """
+    done: dict[int, Object] = {}
+    stack = [(root, *children_of(root), False)]
     while stack:
-        node, kids, open_ = stack.pop()
-        if not open_:
-            stack.append((node, kids, True))
-            stack.extend((k, children_of(k), False) for k in kids if isinstance(k, dict))
+        node, kids, broken, seen = stack.pop()
+        if not seen:
+            stack.append((node, kids, broken, True))
+            stack.extend((k, *children_of(k), False) for k in kids if isinstance(k, dict))
             continue
-        below = [done.pop(id(k)) if isinstance(k, dict) else None for k in kids]
-        marks = [None if b is None else b[0].hex() for b in below]
-        own = json.dumps([*own_fields(node), marks], ensure_ascii=False)
-        digest = hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        height = 1 + max((b[1] for b in below if b), default=-1)
-        done[id(node)] = digest, height
-        yield node, digest, height, [None if b is None else (b[0], b[1] == 0) for b in below]
+        made = Object(node, [done.pop(id(k)) if isinstance(k, dict) else None for k in kids], broken)
+        for k in made.cut(fragment):
+            yield k, k.below()
+            k.kids = []
+        done[id(node)] = made
+        yield made, made.below() if node is root else None
 
 
 _LINKS = [
     ("hash", pa.binary()),
     ("height", pa.int32()),
     ("root_of", pa.int64()),
-    ("kids", pa.list_(pa.struct([("hash", pa.binary()), ("leaf", pa.bool_())]))),
+    ("levels", pa.int32()),
+    ("broken", pa.bool_()),
+    ("below", pa.list_(pa.struct([("above", pa.string()), ("pos", pa.int32()), ("hash", pa.binary()), ("open", pa.bool_()), ("broken", pa.bool_())]))),
 ]
 _FIELD_TYPES = [*[(k, pa.string()) for k in TEXTS], ("level", pa.float64()), ("is_edit", pa.bool_()), ("num_tokens", pa.int64())]
 
@@ -143,27 +207,31 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def tree_objects(trees: DataFrame, with_fields: bool = True) -> DataFrame:
-    """One row per object and batch of trees, and one per root (``root_of`` set); not yet distinct across batches."""
+def tree_objects(trees: DataFrame, with_fields: bool = True, fragment: int = FRAGMENT) -> DataFrame:
+    """One row per object and batch of trees, and one per root (``root_of`` set); not yet distinct across batches.
+
+    Without fields only the rows that hold bridge rows.
+    """
     schema = pa.schema(_LINKS + _FIELD_TYPES * with_fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[bytes] = set()
+            seen: set[tuple[bytes, bool]] = set()
             rows: list[tuple] = []
+            held = 0
             for tree, text in zip(batch.column("tree_id").to_pylist(), batch.column("tree").to_pylist(), strict=True):
                 root = json.loads(text)
-                for node, digest, height, kids in walk_up(root):
-                    top = node is root
-                    if not top:
-                        if digest in seen:
-                            continue
-                        seen.add(digest)
-                    packed = [None if k is None else {"hash": k[0], "leaf": k[1]} for k in kids] if kids else None
-                    rows.append((digest, height, tree if top else None, packed, *(own_fields(node) if with_fields else ())))
-                if len(rows) >= 20_000:
+                for made, below in walk_up(root, fragment):
+                    top = made.node is root
+                    mark = (made.hash, below is not None)
+                    if not top and (mark in seen or not (with_fields or below)):
+                        continue
+                    seen.add(mark)
+                    rows.append((made.hash, made.height, tree if top else None, made.levels if below is not None else None, made.broken, below, *(own_fields(made.node) if with_fields else ())))
+                    held += 1 + len(below or ())
+                if held >= 20_000:
                     yield _batch(rows, schema)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield _batch(rows, schema)
 
@@ -173,40 +241,43 @@ def tree_objects(trees: DataFrame, with_fields: bool = True) -> DataFrame:
 
 
 def merkle_tables(objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(objects, bridge, roots): each distinct object once, its child list once, and the hash of each tree."""
+    """(objects, bridge, roots): each distinct object once, the bridge rows below it once, and the hash of each tree."""
     fields = [c for c in FIELDS if c in objects.columns]
     distinct = objects.select("hash", *fields).dropDuplicates(["hash"])
-    bridge = objects.where("height > 0").select("hash", "kids").dropDuplicates(["hash"])
-    roots = objects.where("root_of is not null").select(F.col("root_of").alias("tree_id"), "hash", "height").dropDuplicates(["tree_id"])
+    bridge = objects.where("below is not null").select("hash", "below").dropDuplicates(["hash"])
+    roots = objects.where("root_of is not null").select(F.col("root_of").alias("tree_id"), "hash", "levels", "broken").dropDuplicates(["tree_id"])
     return distinct, bridge, roots
 
 
 def occurrences(objects: DataFrame) -> DataFrame:
-    """(tree_id, node_path, parent_path, pos, depth, hash): every node of every tree, by walking the bridge.
+    """(tree_id, node_path, parent_path, pos, hash, broken): every node of every tree, by walking the bridge.
 
-    ``objects`` must be a written table: it is read once per level. The number of levels is the height of the
-    highest root. Null entries are no nodes but count in positions. Trees with a null id are left out.
+    ``objects`` must be a written table. One join leads from a tree's root to all nodes of its fragment, further ones
+    to the fragments below; after every few of them the frontier is written, so the plan does not grow with the depth.
+    Null entries are no nodes but count in positions. Trees with a null id are left out.
     """
     _, bridge, roots = merkle_tables(objects)
-    links = bridge.select(F.col("hash").alias("_parent"), "kids")
-    levels = roots.agg(F.max("height")).first()[0]
-    now = roots.select("tree_id", F.lit("0").alias("node_path"), F.lit("").alias("parent_path"), F.lit(0).alias("pos"), "hash", (F.col("height") == 0).alias("leaf"))
-    out = now.withColumn("depth", F.lit(0))
-    for depth in range(1, (levels or 0) + 1):
-        now = (
-            now.where(~F.col("leaf"))
-            .join(links, F.col("hash") == F.col("_parent"))
-            .select("tree_id", F.col("node_path").alias("parent_path"), F.posexplode("kids").alias("pos", "kid"))
-            .where("kid is not null")
-            .select("tree_id", F.concat("parent_path", F.lit("."), "pos").alias("node_path"), "parent_path", "pos", F.col("kid.hash").alias("hash"), F.col("kid.leaf").alias("leaf"))
+    links = bridge.select(F.col("hash").alias("_top"), "below")
+    levels = roots.agg(F.max("levels")).first()[0] or 0
+    out = roots.select("tree_id", F.lit("0").alias("node_path"), F.lit("").alias("parent_path"), F.lit(0).alias("pos"), "hash", "broken")
+    frontier = out.select("tree_id", F.col("node_path").alias("_from"), "hash")
+    for level in range(levels + 1):
+        found = (
+            frontier.join(links, F.col("hash") == F.col("_top"))
+            .select("tree_id", "_from", F.explode("below").alias("k"))
+            .select("tree_id", F.concat("_from", "k.above").alias("parent_path"), F.col("k.pos").alias("pos"), F.col("k.hash").alias("hash"), F.col("k.open").alias("open"), F.col("k.broken").alias("broken"))
         )
-        out = out.unionByName(now.withColumn("depth", F.lit(depth)))
-    return out.drop("leaf")
+        if level < levels and level % STEPS == STEPS - 1:
+            found = written(found, "frontier")
+        found = found.withColumn("node_path", F.concat("parent_path", F.lit("."), "pos"))
+        out = out.unionByName(found.drop("open"))
+        frontier = found.where("open").select("tree_id", F.col("node_path").alias("_from"), "hash")
+    return out
 
 
-def written_objects(trees: DataFrame, with_fields: bool) -> DataFrame:
-    """``tree_objects`` as a written table; without fields it holds hashes only."""
-    return written(tree_objects(trees, with_fields), "objects")
+def written_objects(trees: DataFrame, with_fields: bool, fragment: int = FRAGMENT) -> DataFrame:
+    """``tree_objects`` as a written table; without fields it holds bridge rows only."""
+    return written(tree_objects(trees, with_fields, fragment), "objects")
 
 
 def node_links(trees: DataFrame) -> DataFrame:
@@ -214,8 +285,14 @@ def node_links(trees: DataFrame) -> DataFrame:
     return occurrences(written_objects(trees, False)).select("tree_id", "node_path", "parent_path")
 
 
+def broken_children(trees: DataFrame) -> DataFrame:
+    """(tree_id, node_path) of the nodes whose child list was there but could not be read: their children are lost."""
+    return occurrences(written_objects(trees, False)).where("broken").select("tree_id", "node_path")
+
+
 def flat_nodes(trees: DataFrame) -> DataFrame:
-    """Every node with its place and fields: the occurrences joined with the distinct objects."""
+    """Every node with its place, its depth below the root and its fields: occurrences joined with distinct objects."""
     objects = written_objects(trees, True)
     distinct, _, _ = merkle_tables(objects)
-    return occurrences(objects).join(distinct, "hash").drop("hash")
+    places = occurrences(objects).withColumn("depth", F.regexp_count("node_path", F.lit(r"\.")))
+    return places.join(distinct, "hash").drop("hash", "broken")

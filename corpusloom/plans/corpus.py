@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
-from corpusloom.operators import parsing, references, validity
+from corpusloom.operators import nested, parsing, references, validity
 from corpusloom.operators.packed import articles_of, references_of
-from corpusloom.plans.general import ORACLE as GENERAL, p3_nodes
+from corpusloom.plans.general import p3_nodes, trees_sql
 from corpusloom.session import tune
 from corpusloom.sources.tables import first_delivery, table
 
@@ -410,24 +410,31 @@ def softmax(t):
 
 
 # trees and graphs
-_PATHS = GENERAL["p3_found"].rsplit("SELECT tree_id, node_path, parent_path FROM t", 1)[0]
+_PATHS = trees_sql()
 
 
 @query(_PATHS + "SELECT tree_id, array_to_string(s[1:k], '.') ancestor, node_path descendant, CAST(len(s) - k AS INTEGER) depth FROM (SELECT tree_id, node_path, s, unnest(range(1, len(s) + 1)) k FROM (SELECT tree_id, node_path, string_split(node_path, '.') s FROM t))")
 def closure(t):
-    return parsing.closure(p3_nodes(t("tree_output").sparkSession, None, t("tree_output")).select("tree_id", "node_path"))
+    return parsing.closure(nested.node_links(t("tree_output")))
 
 
-@query(_PATHS + "SELECT tree_id, parent_path, count(*) n_children FROM t WHERE parent_path <> '' GROUP BY ALL")
+@query(_PATHS + "SELECT tree_id, parent_path, array_to_string(list(node_path ORDER BY CAST(split_part(node_path, '.', -1) AS INTEGER)), ' ') children FROM t WHERE parent_path <> '' GROUP BY ALL")
 def adjacency(t):
-    return p3_nodes(t("tree_output").sparkSession, None, t("tree_output")).where("parent_path <> ''").groupBy("tree_id", "parent_path").agg(F.count("*").alias("n_children"))
+    """The children of each node that has any, in their order."""
+    kids = nested.node_links(t("tree_output")).where("parent_path <> ''")
+    at = F.element_at(F.split("node_path", r"\."), -1).cast("int")
+    listed = kids.groupBy("tree_id", "parent_path").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "node_path"))).alias("k"))
+    return listed.select("tree_id", "parent_path", F.array_join("k.node_path", " ").alias("children"))
 
 
-@query()
+_OWN_WORDS = r"len(regexp_extract_all(coalesce({c}, ''), '[^ \t\n\r\f\x0b]+'))"
+
+
+@query(trees_sql(", " + _OWN_WORDS.format(c="content") + " AS own", ", " + _OWN_WORDS.format(c="json_extract_string(kid, '$.content')")) + "SELECT tree_id, node_path, CAST(sum(own) AS BIGINT) n_words FROM (SELECT tree_id, array_to_string(s[1:k], '.') node_path, own FROM (SELECT tree_id, s, own, unnest(range(1, len(s) + 1)) k FROM (SELECT tree_id, string_split(node_path, '.') s, own FROM t))) GROUP BY ALL")
 def subtree_totals(t):
     """Words of a node with everything below it, counted anew through the closure."""
     nodes = p3_nodes(t("tree_output").sparkSession, None, t("tree_output"))
-    own = nodes.select("tree_id", "node_path", F.size(F.split(F.trim(F.coalesce("content", F.lit(""))), r"\s+")).alias("own"))
+    own = nodes.select("tree_id", "node_path", F.regexp_count(F.coalesce("content", F.lit("")), F.lit(r"[^ \t\n\r\f\x0b]+")).alias("own"))
     steps = F.split("node_path", r"\.")
     up = own.select("tree_id", "own", steps.alias("s"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("k"))
     return up.groupBy("tree_id", F.array_join(F.slice("s", 1, F.col("k")), ".").alias("node_path")).agg(F.sum("own").alias("n_words"))

@@ -15,6 +15,11 @@ def p3_nodes(spark, sf_dir, trees=None):
     return nested.flat_nodes(wide(tune(spark), sf_dir, "tree_output") if trees is None else trees)
 
 
+def p3_broken(spark, sf_dir):
+    """Nodes whose child list cannot be read."""
+    return nested.broken_children(wide(tune(spark), sf_dir, "tree_output"))
+
+
 def _orphans(spark, sf_dir):
     return references.orphans(wide(tune(spark), sf_dir, "legal_knowledge_records"), table(spark, sf_dir, "legal_doc_registry"))
 
@@ -31,19 +36,27 @@ def p6_found(spark, sf_dir):
     return packed.packed_cases(wide(tune(spark), sf_dir, "legal_knowledge_records"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p5_found, p5_counts, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_nodes, p3_broken, p5_found, p5_counts, p6_found)}
 
-ORACLE = {
-    "p3_found": """
+def trees_sql(root: str = "", kid: str = "") -> str:
+    """The recursive table t(tree_id, node_path, parent_path, kids) of all nodes; further columns of root and ``kid``."""
+    return f"""
 WITH RECURSIVE t AS (
-  SELECT tree_id, '0' AS node_path, '' AS parent_path, CAST(to_json(children) AS JSON) AS kids FROM tree_output
+  SELECT tree_id, '0' AS node_path, '' AS parent_path, CAST(to_json(children) AS JSON) AS kids{root} FROM tree_output
   UNION ALL
   SELECT tree_id, node_path || '.' || i, node_path,
          CASE WHEN json_type(kid, '$.children') = 'ARRAY' THEN json_extract(kid, '$.children')
-              WHEN json_valid(json_extract_string(kid, '$.children_json')) THEN CAST(json_extract_string(kid, '$.children_json') AS JSON) END
+              WHEN json_valid(json_extract_string(kid, '$.children_json')) THEN CAST(json_extract_string(kid, '$.children_json') AS JSON) END{kid}
   FROM (SELECT tree_id, node_path, i, json_extract(kids, '$[' || i || ']') AS kid
         FROM (SELECT tree_id, node_path, kids, unnest(range(CAST(json_array_length(kids) AS BIGINT))) AS i
               FROM t WHERE json_type(kids) = 'ARRAY'))
   WHERE json_type(kid) = 'OBJECT')
-SELECT tree_id, node_path, parent_path FROM t""",
+"""
+
+
+_BROKEN = "json_type(kid, '$.children') IS DISTINCT FROM 'ARRAY' AND trim(json_extract_string(kid, '$.children_json')) <> '' AND NOT json_valid(json_extract_string(kid, '$.children_json'))"
+
+ORACLE = {
+    "p3_found": trees_sql() + "SELECT tree_id, node_path, parent_path FROM t",
+    "p3_broken": trees_sql(", false AS bad", ", " + _BROKEN) + "SELECT tree_id, node_path FROM t WHERE bad",
 }

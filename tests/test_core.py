@@ -117,13 +117,51 @@ def test_nested_paths_and_identity(spark):
     assert objects.where("content = 'kid'").count() == 2  # with and without children: identical ones once
     assert {r.content for r in nested.flat_nodes(trees).where("depth = 2").collect()} == {"x"}
     assert nested.node_links(trees.limit(0)).count() == 0
+    assert {(r.tree_id, r.node_path) for r in nested.broken_children(trees).collect()} == {(4, "0.1")}
+
+
+def walked(node, path="0"):
+    yield path
+    for k, kid in enumerate(node.get("children") or []):
+        if isinstance(kid, dict):
+            yield from walked(kid, f"{path}.{k}")
+
+
+def test_nested_trees_larger_than_a_fragment(spark):
+    """Wide, deep and repeated subtrees against a plain recursive walk."""
+    import random
+
+    rng = random.Random(4)
+
+    def grown(depth):
+        return {"content": rng.choice("ab"), "children": [None if rng.random() < 0.1 else grown(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []}
+
+    rows, want = [], set()
+    for i in range(30):
+        kids = [grown(7), grown(3), grown(3)]
+        rows.append(tree(i, [("1", "kid", None, "1", 1.0, False, 2, json.dumps(kids))]))
+        want |= {(i, p) for p in walked({"children": [{"children": kids}]})}
+    objects = nested.written_objects(spark.createDataFrame(rows, TREE).coalesce(1), True, fragment=3)
+    levels = objects.agg(F.max("levels")).first()[0]
+    assert levels > nested.STEPS
+    got = [(r.tree_id, r.node_path) for r in nested.occurrences(objects).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("depth", [200, 20000])
+def test_deep_trees(spark, depth):
+    deep = '[{"content":"x","children":' * depth + "[]" + "}]" * depth
+    trees = spark.createDataFrame([tree(1, [("1", "kid", None, "1", 1.0, False, 2, deep)])], TREE)
+    s = nested.node_links(trees).agg(F.count("*").alias("n"), F.max(F.length("node_path")).alias("m")).first()
+    assert (s.n, s.m) == (depth + 2, 2 * (depth + 1) + 1)
 
 
 def test_nested_json_of_any_depth(monkeypatch):
     depth = 20_000
     text = '[{"id": "x", "children": ' * depth + "[null]" + "}]" * depth
     nodes = list(nested.walk_up({"children_json": text}))
-    assert len(nodes) == depth + 1 and nodes[-1][2] == depth
+    tops = [o for o, below in nodes if below is not None]
+    assert len(nodes) - len(tops) == depth and nodes[-1][0].height == depth and nodes[-1][0].levels == len(tops) - 1 < 40
     samples = ['[1, -2.5e3, "a\\"\\u00e9", true, null, [], {}, {"k": [{"z": {}}]}]', " [ ] ", '{"a": 1}', "[1,]", "[1 2]", '{"a"}', "[", "]", "[1]]", ""]
     wants = []
     for s in samples:
