@@ -139,9 +139,46 @@ def test_automaton_against_levenshtein():
     trie = canon.Registry([(str(i), t, None) for i, t in enumerate(plain)])
     for t in plain:
         key = "".join(c for c in t if rng.random() > 0.08) + "d"
-        got = {n: mark[0] for n, mark in trie.within(key, 3, False).items()}
         want = {n: d for n, u in enumerate(plain) if (d := distance(key, u)) <= 3}
-        assert got == want
+        for edits in range(4):
+            got = trie.within(key, edits, False, (1 << 30) - 1)
+            assert {n for mask in got.values() for n in range(30) if mask >> n & 1} == {n for n, d in want.items() if d <= edits}
+            counts, n = trie.shared(key)
+            assert all(counts[i] >= n - 3 * d for i, d in want.items())
+
+
+def test_nearest_entries_against_brute_force():
+    """Titles with digits and shared openings: no entry within the distance is lost, whatever the trigrams."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd12") for _ in range(rng.randint(2, 6)))
+    opening = "mo dau chung cua cac van ban"
+    titles = [f"{opening} " * (i % 2) + " ".join(word() for _ in range(rng.randint(4, 9))) for i in range(60)]
+    trie = canon.Registry([(str(i), t, None) for i, t in enumerate(titles)])
+    plain = [t.replace(" ", "") for t in titles]
+    for _ in range(150):
+        key = list(rng.choice(plain))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(key))
+            key[at : at + rng.randint(0, 1)] = rng.choice("abcd12") * rng.randint(0, 1)
+        key = "".join(key)
+        most = canon.max_edits(len(key))
+        apart = [distance(key, u) for u in plain]
+        low = min(apart)
+        found = trie.nearest([(key, *trie.shared(key))], False, 0, 5, -1)
+        if low <= most:
+            assert found[1] <= low  # an alias path may be nearer
+            counts, n = trie.shared(key)
+            reached = trie.within(key, most, False, sum(1 << i for i in range(60) if counts[i] >= n - 3 * most))
+            assert {i for mask in reached.values() for i in range(60) if mask >> i & 1} >= {i for i, d in enumerate(apart) if d <= most}
+
+
+def test_notes_around_a_name():
+    trie = canon.Registry(NUMBERED)
+    note = " ghi chú của người nhập liệu" * 400
+    assert trie.resolve("Luật Bảo hiểm tháp chuôg bãi giữa - " + note)[0] == "1/2030/LX"
+    assert trie.resolve("Toàn văn Luật Bảo hiểm tháp chuông bãi giữa bản scan")[0] == "1/2030/LX"
+    assert trie.resolve("Luật Bảo hiểm tháp chuông bãi giữa năm 2034")[0] == "1/2030/LX"
+    assert trie.resolve(note)[0] == "" and trie.resolve(", " * 50_000 + "x")[0] == ""
 
 
 def test_mapped_records(spark):
