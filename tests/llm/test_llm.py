@@ -300,11 +300,34 @@ def test_leaks(spark):
 CLEAN = "Người trông coi vách yến có trách nhiệm đối chiếu giấy vào bến đã hết hạn trước ngày ba mươi tháng sáu."
 
 
-@pytest.mark.parametrize("chain", ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp1252+cp1252", "vni"])
+@pytest.mark.parametrize("chain", ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp1252+cp1252", "cp1253", "cp1256", "cp1258", "windows-1258", "vni"])
 def test_garbling_is_undone(chain):
     assert mojibake.Repair([chain]).undo(mojibake.garble(CLEAN, chain))[0] == CLEAN
 
 
+@pytest.mark.parametrize("chain", ["gbk", "shift_jis", "big5", "cp1253", "cp1256", "cp1252", "cp1252+cp1252", "cp1258", "windows-1258"])
+def test_transformations_are_inferred(spark, chain):
+    """From one garbled document and clean ones with its words; restored are the words whose bytes all survive."""
+    garbled = mojibake.garble(CLEAN, chain)
+    documents = spark.createDataFrame([*((i, CLEAN + f" Số {i}.") for i in range(3)), (9, garbled), (10, "Chữ 漢字 đúng chỗ"), (11, None)], "doc_id bigint, text string")
+    assert chain in mojibake.learned(documents)[0]
+    got = {r.doc_id: r.text for r in mojibake.restored(documents).collect()}
+    assert set(got) == {9}
+    pairs = list(zip(CLEAN.split(" "), got[9].split(" "), garbled.split(" "), strict=True))
+    kept = [(c, r) for c, r, g in pairs if "�" not in g]
+    assert all(c == r for c, r in kept) and len(kept) > len(pairs) / 3
+
+
+def test_runs_without_an_encoding_are_learned(spark):
+    """A font's own signs: each run stands for what nearly all of its words agree on."""
+    own = {"ề": "ʬ", "ị": "ʭʮ", "ờ": "ʯ"}
+    clean = ["bền", "lề mề", "tiền kền rền", "nghị bịt trịnh", "thị vịt mịt", "người mười rười cười lười tời"]
+    odd = "".join(own.get(c, c) for c in " ".join(clean))
+    documents = spark.createDataFrame([(1, " ".join(clean)), (2, " ".join(clean).replace("ờ", "ở")), (3, odd)], "doc_id bigint, text string")
+    assert mojibake.learned(documents)[1].get("ʭʮ") == "ị"
+    assert "nghị" in mojibake.restored(documents).where("doc_id = 3").first().text
+
+
 def test_garbled_documents(spark):
     rows = [(i, CLEAN + f" Số {i}.") for i in range(5)] + [(10, mojibake.garble(CLEAN, "cp1252")), (11, "Xem: " + mojibake.garble(CLEAN, "vni")), (12, "mất � dấu"), (13, "naïve, Übung, façade, 5 m², ½ «Бродуга» “§ 5” – …"), (14, None), (15, ""), (16, "council’s fee")]
     documents = spark.createDataFrame(rows, "doc_id bigint, text string")
