@@ -3,15 +3,16 @@
 Texts are measured in tokens of a public tokenizer; one larger than the capacity is divided into full containers and
 a rest. Items are dealt by hash into shards of bounded size. On each island of a shard a population of packings
 evolves: crossover injects whole well-filled bins of one parent into the other, bins that hold an injected item are
-dissolved, and the displaced items are placed best-fit, largest first. Between epochs the best packing of each island
-migrates to the next. The best packing of a shard wins; its poorly filled bins are packed again together with those of
-other shards, until one shard is left, so that no shard wastes a container of its own.
+dissolved, and the displaced items replace smaller ones in bins they fill better before the rest is placed best-fit,
+largest first. Between epochs the best packing of each island migrates to the next. A shard is done when its packing
+meets a lower bound, which proves it the best there is. The best packing of a shard wins; its poorly filled bins are
+packed again together with those of other shards, dealt anew, as long as that saves containers.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from corpusloom.session import written
 
 CAPACITY = 4096
-SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 6, 4
+SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 40, 8
 #: Bins filled less than this are packed again across shards.
 WELL_FILLED = 0.98
+#: The last round of packing again is one that saves less than this share of the containers it packs.
+LEAST_GAIN = 0.001
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -93,34 +96,93 @@ def fitness(bins: Packing, sizes: list[int], capacity: int) -> float:
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers that no packing can do without: items above half a container meet only what fits beside them."""
+    ordered = sorted(sizes)
+    sums = [0]
+    for x in ordered:
+        sums.append(sums[-1] + x)
+    half, n = bisect_right(ordered, capacity // 2), len(ordered)
+    best = -(-sums[n] // capacity)
+    for k in {0, *ordered[:half]}:
+        whole = bisect_right(ordered, capacity - k)  # items from here on leave no room for one of size k
+        large, small = whole - half, sums[half] - sums[bisect_left(ordered, k)]
+        free = large * capacity - (sums[whole] - sums[half])
+        best = max(best, n - half + max(0, -(-(small - free) // capacity)))
+    return best
+
+
+def replaced(bins: Packing, loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Put loose items, one or two, in place of one or two smaller ones of a bin that they fill better; what is loose then.
+
+    ``bins`` are changed. What comes out is smaller than what went in, and so easier to place.
+    """
+    loose = sorted(loose, key=lambda i: sizes[i])
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        if room <= 0 or not loose:
+            continue
+        listed = [sizes[i] for i in loose]
+        ones = [(sizes[i], (i,)) for i in b]
+        outs = ones + [(sizes[i] + sizes[k], (i, k)) for n, i in enumerate(b) for k in b[n + 1 :]]
+        best, take, give = 0, None, None
+        for size, out in outs:
+            most = size + room
+            at = bisect_right(listed, most) - 1
+            if at >= 0 and listed[at] - size > best:
+                best, take, give = listed[at] - size, (at,), out
+            low, high = 0, min(at, len(listed) - 1)
+            while low < high:  # the fullest pair that fits
+                both = listed[low] + listed[high]
+                if both > most:
+                    high -= 1
+                    continue
+                if both - size > best:
+                    best, take, give = both - size, (low, high), out
+                low += 1
+            if best == room:
+                break
+        if take:
+            b[:] = [i for i in b if i not in give] + [loose[n] for n in take]
+            for n in sorted(take, reverse=True):
+                del loose[n]
+            for i in give:
+                insort(loose, i, key=lambda x: sizes[x])
+    return loose
+
+
 def crossover(mother: Packing, father: Packing, sizes: list[int], capacity: int, rng) -> Packing:
-    """Inject well-filled bins of the father into the mother; whole bins stay whole, displaced items are best-fitted."""
+    """Inject well-filled bins of the father into the mother; whole bins stay whole, displaced items are placed anew."""
     fills = np.array([sum(sizes[i] for i in b) for b in father])
     good = np.argsort(-fills, kind="stable")[: max(1, len(father) // 2)]
     chosen = rng.choice(good, size=max(1, len(good) // 2), replace=False)
-    injected = [father[int(n)] for n in sorted(chosen)]
+    injected = [list(father[int(n)]) for n in sorted(chosen)]
     taken = {i for b in injected for i in b}
     kept, loose = [], []
     for b in mother:
         if taken.isdisjoint(b):
-            kept.append(b)
+            kept.append(list(b))
         else:
             loose += [i for i in b if i not in taken]
-    return best_fit(kept + injected, loose, sizes, capacity)
+    return best_fit(kept + injected, replaced(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def mutate(bins: Packing, sizes: list[int], capacity: int, rng) -> Packing:
     """Dissolve the emptiest bins and a few at random."""
     fills = np.array([sum(sizes[i] for i in b) for b in bins])
-    gone = set(np.argsort(fills, kind="stable")[:2].tolist()) | set(rng.integers(0, len(bins), 2).tolist())
+    gone = set(np.argsort(fills, kind="stable")[:2].tolist()) | set(rng.integers(0, len(bins), max(2, len(bins) // 50)).tolist())
     loose = [i for n in sorted(gone) for i in bins[n]]
-    return best_fit([b for n, b in enumerate(bins) if n not in gone], loose, sizes, capacity)
+    kept = [list(b) for n, b in enumerate(bins) if n not in gone]
+    return best_fit(kept, replaced(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Packing], generations: int, population: int, seed: int) -> Packing:
-    """The best packing of one island after some generations; stops at the lower bound."""
+    """The best packing of one island after some generations, or one that meets the lower bound and so is the best there is.
+
+    The first population is best fit in order of size and in random orders.
+    """
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
+    least = lower_bound(sizes, capacity)
     everything = list(range(len(sizes)))
     pool = [*elites] or [best_fit([], everything, sizes, capacity)]
     while len(pool) < population and min(map(len, pool)) > least:
@@ -132,7 +194,7 @@ def evolve(sizes: list[int], capacity: int, elites: list[Packing], generations:
     for _ in range(generations):
         if len(pool[0]) <= least:
             break
-        a, b = rng.integers(0, len(pool), 2)
+        a, b = np.sort(rng.integers(0, len(pool), 2))
         child = mutate(crossover(pool[int(a)], pool[int(b)], sizes, capacity, rng), sizes, capacity, rng)
         pool = sorted([*pool, child], key=score, reverse=True)[:population]
     return pool[0]
@@ -164,9 +226,9 @@ def _epoch(capacity: int, generations: int, population: int, epoch: int):
     return run
 
 
-def _pack_shards(items: DataFrame, n_shards: int, capacity: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
+def _pack_shards(items: DataFrame, n_shards: int, salt: int, capacity: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
     """Every item with its bin in the best packing of its shard."""
-    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_shards))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(n_shards))
     now = items.withColumn("shard", shard).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)]))).withColumn("bin", F.lit(-1)).withColumn("elite", F.lit(0))
     for epoch in range(epochs):
         now = now.groupBy("shard", "island").applyInPandas(_epoch(capacity, generations, population, epoch), _ROW)
@@ -182,22 +244,23 @@ def _pack_shards(items: DataFrame, n_shards: int, capacity: int, islands: int, e
 
 def packed(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, container): every item in one container, none over the capacity."""
-    items, out, round_no = written(items, "items"), None, 0
+    items, out, round_no, before = written(items, "items"), None, 0, None
+    columns = ["doc_id", "piece", "token_start", "n_tokens"]
     while True:
-        n = items.count()
-        n_shards = max(1, -(-n // shard_items))
-        done = _pack_shards(items, n_shards, capacity, islands, epochs, generations, population)
-        name = F.concat_ws("-", F.lit(round_no), "shard", "bin")
-        columns = ["doc_id", "piece", "token_start", "n_tokens"]
-        final = done if n_shards == 1 else done.where(F.col("room") <= (1 - WELL_FILLED) * capacity)
-        final = final.select(*columns, name.alias("container"))
+        n_shards = max(1, -(-items.count() // shard_items))
+        done = _pack_shards(items, n_shards, round_no, capacity, islands, epochs, generations, population)
+        done = written(done.withColumn("container", F.concat_ws("-", F.lit(round_no), "shard", "bin")), "packed")
+        poor = F.col("room") > (1 - WELL_FILLED) * capacity
+        bins = done.select("container", poor.alias("poor")).distinct().groupBy().agg(F.count("*").alias("n"), F.count_if("poor").alias("poor")).first()
+        if before is not None and bins.n >= before[1]:  # nothing saved: the packing before stands
+            return before[0] if out is None else out.unionByName(before[0])
+        last = n_shards == 1 or bins.poor == 0 or (before is not None and before[1] - bins.n < LEAST_GAIN * before[1])
+        final = (done if last else done.where(~poor)).select(*columns, "container")
         out = final if out is None else out.unionByName(final)
-        if n_shards == 1:
+        if last:
             return out
-        rest = written(done.where(F.col("room") > (1 - WELL_FILLED) * capacity).select(*columns), "rest")
-        if rest.count() > 0.7 * n:  # no headway: the shards' own packings stand
-            return out.unionByName(done.where(F.col("room") > (1 - WELL_FILLED) * capacity).select(*columns, name.alias("container")))
-        items, round_no = rest, round_no + 1
+        items = done.where(poor).select(*columns)
+        before, round_no = (done.where(poor).select(*columns, "container"), bins.poor), round_no + 1
 
 
 def containers(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

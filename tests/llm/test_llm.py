@@ -276,6 +276,52 @@ def test_packing(spark):
     assert packing.packed(packing.items_of(counts.limit(0))).count() == 0
 
 
+def hard_sizes(rng, bins, capacity=1000):
+    """Three items to a bin that fill it exactly: best fit in order of size wastes many bins."""
+    out = []
+    for _ in range(bins):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_lower_bound():
+    rng = random.Random(1)
+    assert packing.lower_bound([], 10) == 0 and packing.lower_bound([6, 6, 6], 10) == 3 and packing.lower_bound([5, 5, 6, 4], 10) == 2
+    for _ in range(50):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 9))]
+        best, stack = 99, [((), 0)]
+        while stack:
+            rooms, i = stack.pop()
+            if len(rooms) >= best:
+                continue
+            if i == len(sizes):
+                best = len(rooms)
+                continue
+            stack += [(rooms[:n] + (r - sizes[i],) + rooms[n + 1 :], i + 1) for n, r in enumerate(rooms) if r >= sizes[i]] + [((*rooms, 10 - sizes[i]), i + 1)]
+        assert packing.lower_bound(sizes, 10) <= best
+
+
+def test_evolution_beats_best_fit():
+    rng = random.Random(6)
+    for bins in (40, 100):
+        sizes = hard_sizes(rng, bins)
+        plain = len(packing.best_fit([], list(range(len(sizes))), sizes, 1000))
+        best = packing.evolve(sizes, 1000, [], 40, 8, 1)
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in best) <= 1000
+        assert len(best) - bins <= (plain - bins) / 2 and plain > bins
+
+
+def test_islands_beat_best_fit(spark):
+    sizes = hard_sizes(random.Random(7), 120)
+    counts = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
+    plain = len(packing.best_fit([], list(range(len(sizes))), sizes, 1000))
+    rows = packing.packed(packing.items_of(counts, 1000), 1000, shard_items=180).collect()
+    assert {r.doc_id for r in rows} == set(range(len(sizes))) and len({r.container for r in rows}) < plain
+
+
 def test_crossover_keeps_every_item_once():
     rng = np.random.default_rng(0)
     sizes = [int(x) for x in rng.integers(1, 60, 80)]
