@@ -29,7 +29,7 @@ class _Folded(dict):
     def __missing__(self, word: str) -> tuple[str, int]:
         if len(self) > 300_000:
             self.clear()
-        plain = fold(word)
+        plain = fold(word.lower())
         made = self[word] = (plain, xxhash.xxh64_intdigest(plain))
         return made
 
@@ -39,7 +39,7 @@ _FOLDED = _Folded()
 
 def folded_words(text: str | None) -> list[str]:
     """The words as compared: consistent form, lower case, no accents, đ = d."""
-    return [_FOLDED[w][0] for w in WORD.findall(consistent(text).lower())] if text else []
+    return [_FOLDED[w][0] for w in WORD.findall(consistent(text))] if text else []
 
 
 def gram_hashes(word_hashes: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def _scan(documents: DataFrame, block: list[tuple[int, str, list[str]]]) -> Data
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = consistent(text).lower() if text else ""
+                text = consistent(text) if text else ""
                 listed = WORD.findall(text)
                 if len(listed) < GRAM:
                     continue
@@ -133,7 +133,7 @@ def _scan(documents: DataFrame, block: list[tuple[int, str, list[str]]]) -> Data
 def leaked_spans(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Every run of at least 12 words a document shares with a question or answer.
 
-    ``start`` and ``end`` are places in the lower-cased consistent form. Empty tables, null and short texts give
+    ``start`` and ``end`` are places in the consistent form. Empty tables, null and short texts give
     no rows. A document that repeats a passage has a row per place.
     """
     out = None
@@ -149,10 +149,10 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, n_spans, n_cut, text): the leaking documents with the shared runs cut out of the consistent form."""
+    """(doc_id, n_spans, n_cut, text): the leaking documents with the shared runs, ``n_cut`` characters, cut out of the consistent form."""
     spans = leaked_spans(documents, items).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("text string, n_cut long")
     def cut(texts, spans):
         import pandas as pd
 
@@ -161,9 +161,10 @@ def without_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             for part in parts:
                 out.append(text[at : max(at, part["start"])])
                 at = max(at, part["end"])
-            return "".join([*out, text[at:]])
+            left = "".join([*out, text[at:]])
+            return left, len(text) - len(left)
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
+        return pd.DataFrame([one(t, s) for t, s in zip(texts, spans, strict=True)], columns=["text", "n_cut"])
 
     joined = documents.select("doc_id", F.col("text").alias("raw")).join(spans, "doc_id")
-    return joined.select("doc_id", F.size("spans").alias("n_spans"), cut("raw", "spans").alias("text")).withColumn("n_chars", F.length("text"))
+    return joined.select("doc_id", F.size("spans").alias("n_spans"), cut("raw", "spans").alias("c")).select("doc_id", "n_spans", "c.n_cut", "c.text")

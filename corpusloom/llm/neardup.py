@@ -271,8 +271,10 @@ def similar_classes(signatures: DataFrame) -> DataFrame:
     met = met_pairs(long.select("key", "symbols"))
     prints = long.select("class", "key", "symbols").dropDuplicates(["class"])
     sides = [prints.withColumnsRenamed({"class": x, "key": f"key_{x}", "symbols": f"symbols_{x}"}) for x in "ab"]
-    keys = met.withColumnsRenamed({"a": "key_a", "b": "key_b"})
-    both = keys.join(sides[0], "key_a").join(sides[1], "key_b").select("a", "b", "symbols_a", "symbols_b")
+    # classes whose keys are equal meet under no pair of keys, but under their own
+    shared = prints.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("a"), F.col("key").alias("b"))
+    keys = met.unionByName(shared).withColumnsRenamed({"a": "key_a", "b": "key_b"})
+    both = keys.join(sides[0], "key_a").join(sides[1], "key_b").where("key_a < key_b or a < b").select("a", "b", "symbols_a", "symbols_b")
     near = written(_filtered(both, "symbols", "a bigint, b bigint", _near_prints), "near")
     # a written list of the classes still in play: small, it is broadcast after a look at its size, else shuffled
     needed = written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "needed")
@@ -326,6 +328,27 @@ def similar_groups(records: DataFrame) -> DataFrame:
     return joined.join(heads, "root").select("id", "group").unionByName(alone)
 
 
+def representatives(records: DataFrame) -> DataFrame:
+    """(id, representative): every record with the least id of those of its word sequence; itself if its text is short."""
+    first = signed(records).groupBy("id").agg(F.min(F.struct("at", "class")).alias("f")).select("id", "f.class")
+    first = written(first, "first")
+    heads = first.where("class is not null").groupBy("class").agg(F.min("id").alias("representative"))
+    return first.join(heads, "class", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+
+
+def similar_representatives(records: DataFrame) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b: the pairs between representatives, one for each two classes of texts.
+
+    With ``representatives`` these are all similar pairs, and no more rows than there are different similar texts.
+    """
+    signatures = written(signed(records), "signed")
+    heads = class_members(signatures).groupBy("class").agg(F.min("id").alias("id"))
+    pairs = similar_classes(signatures)
+    for side in "ab":
+        pairs = pairs.join(heads.withColumnsRenamed({"class": side, "id": f"id_{side}"}), side)
+    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
+
+
 def similar_records(records: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two records of similarity 0.7 or more, equal contents included."""
     signatures = written(signed(records), "signed")

@@ -41,6 +41,15 @@ def p4_groups(spark, sf_dir):
     return neardup.similar_groups(_records(spark, sf_dir))
 
 
+def p4_pairs(spark, sf_dir):
+    """Similar pairs of representatives; p4_members has the records they stand for."""
+    return neardup.similar_representatives(_records(spark, sf_dir))
+
+
+def p4_members(spark, sf_dir):
+    return neardup.representatives(_records(spark, sf_dir))
+
+
 def p7_found(spark, sf_dir):
     return normalize.field_cases(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
 
@@ -77,7 +86,7 @@ def p9_cleaned(spark, sf_dir):
     return leakage.without_leaks(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = (p8_containers, p8_report, p10_found, p10_restored, p10_transformations, p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p4_groups, p7_found)
+QUERIES = (p8_containers, p8_report, p10_found, p10_restored, p10_transformations, p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p4_groups, p4_pairs, p4_members, p7_found)
 
 
 def queries():

@@ -204,6 +204,10 @@ def test_similar_records_against_brute_force(spark):
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
     assert {tuple(r) for r in neardup.similar_records(records(spark, rows)).collect()} == want and len(want) > 20
     assert neardup.similar_records(records(spark, [])).count() == 0
+    of = {r.id: r.representative for r in neardup.representatives(records(spark, rows)).collect()}
+    pairs = {(r.id_a, r.id_b) for r in neardup.similar_representatives(records(spark, rows)).collect()}
+    assert set(of) == {i for i, _, _ in rows} and {x for p in pairs for x in p} <= set(of.values())
+    assert pairs | {(x, x) for x in of.values()} >= {tuple(sorted((of[a], of[b]))) for a, b in want} >= pairs
 
 
 def test_similar_groups_against_brute_force(spark):
@@ -342,6 +346,16 @@ def test_leaks(spark):
     assert leakage.leaks(documents, items.limit(0)).count() == 0
 
 
+def test_leaks_are_cut_at_their_places(spark):
+    """Letters that grow in lower case, and wide and composed ones, before, inside and after a passage."""
+    passage = "Người giữ kho phải đối chiếu sổ chuyến với biểu phí mỗi vụ gặt mới"
+    items = spark.createDataFrame([(1, passage, None)], "id bigint, question string, answer string")
+    docs = [(1, "İİ đầu İ " + passage + " İ cuối"), (2, passage), (3, "Ｋhúc ｍở. " + passage + "! Đoạn kết " + passage.upper() + ".")]
+    got = {r.doc_id: (r.n_spans, r.n_cut, r.text) for r in leakage.without_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    n = len(passage)
+    assert got == {1: (1, n, "İİ đầu İ  İ cuối"), 2: (1, n, ""), 3: (2, 2 * n, "Khúc mở. ! Đoạn kết .")}
+
+
 # p10
 CLEAN = "Người trông coi vách yến có trách nhiệm đối chiếu giấy vào bến đã hết hạn trước ngày ba mươi tháng sáu."
 
