@@ -22,7 +22,7 @@ class Profile:
     article_header: str = r"(?m)^(?:Article|Section)\s+(\d+)"
 
 
-VIETNAMESE = Profile(article=r"(?i)đi[eề]u\s+(\d+[a-zđ]?)", article_header=r"(?m)^Điều\s+(\d+)")
+VIETNAMESE = Profile(article=r"(?iu)đi[eề]u\s+(\d+[a-zđ]?)", article_header=r"(?m)^Điều\s+(\d+)")
 
 
 def clean_null(text: Column) -> Column:

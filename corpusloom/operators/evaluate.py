@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_query(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """(qid, p, r, f2): F2 = 5PR / (4P + R); both empty count as 1, an empty gold set has recall 1."""
+def per_query(pred: DataFrame, gold: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(qid, p, r, f2): F2 = 5PR / (4P + R); both empty count as 1, an empty gold set has recall 1.
+
+    ``questions`` (qid) lists all of them: those with neither prediction nor gold are in neither of the other tables.
+    """
     p, g = pred.select("qid", "key").distinct().withColumn("p", F.lit(1)), gold.select("qid", "key").distinct().withColumn("g", F.lit(1))
     counts = p.join(g, ["qid", "key"], "full").groupBy("qid").agg(F.count("p").alias("np"), F.count("g").alias("ng"), F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("hit"))
+    if questions is not None:
+        counts = questions.select("qid").distinct().join(counts, "qid", "left").na.fill(0, ["np", "ng", "hit"])
     pr = F.when(F.col("np") == 0, F.when(F.col("ng") == 0, 1.0).otherwise(0.0)).otherwise(F.col("hit") / F.col("np"))
     re = F.when(F.col("ng") == 0, 1.0).otherwise(F.col("hit") / F.col("ng"))
     scored = counts.select("qid", pr.alias("p"), re.alias("r"))

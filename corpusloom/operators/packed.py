@@ -16,25 +16,43 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import first_delivery
 
-SEP, ESCAPED_QUOTE, ESCAPED_SLASH = "\ue000", "\ue001", "\ue002"
+#: Private signs; where a field holds one of them itself, it stands as ``KEPT`` and its number until the end.
+SEP, ESCAPED_QUOTE, ESCAPED_SLASH, KEPT = "\ue000", "\ue001", "\ue002", "\ue003"
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: A complete reference ends in a pipe and an article; only after one does a bare comma divide.
-ARTICLE_END = r"\|\s{0,4}(?:(?iu:điều)\s{0,4})?\d{1,6}\p{L}?\s{0,3}\.?(?:\s{0,3}\([^()]{0,80}\))?\s{0,3}"
+#: A complete reference ends in a pipe and an article; only after one, or at the start, does a bare comma divide.
+ARTICLE_END = r"\|\s*+(?:(?iu:điều)\s*+)?\d++\p{L}?+\s*+\.?+(?:\s*+\([^()]*+\))?+\s*+"
 REFERENCE_RULES = [
-    r"\s*[;；\t\r\n](?:\s*[;；\t\r\n])*\s*",
-    rf"(?:(?<=(?:^|{SEP})\s{{0,4}})|(?<={ARTICLE_END})),(?:\s*,)*\s*",
+    (r"\s*[;；\t\r\n](?:\s*[;；\t\r\n])*\s*", SEP),
+    (rf"(^|{SEP})\s*,(?:\s*,)*\s*", f"$1{SEP}"),
+    (rf"({ARTICLE_END}),(?:\s*,)*\s*", f"$1{SEP}"),
 ]
-LIST_RULES = [r"\s*(?:[,;；、/&\t\r\n]|(?<=\s)(?iu:và|and)(?=\s))(?![^()]*\))\s*"]
-CONTAINER_RULES = [r"\s*,\s*", rf"(?<![^\s{SEP}])(?:null|None|NULL)(?![^\s{SEP}])"]
+LIST_RULES = [(r"\s*(?:[,;；、/&\t\r\n]|(?<=\s)(?iu:và|and)(?=\s))(?![^()]*\))\s*", SEP)]
+CONTAINER_RULES = [(r"\s*,\s*", SEP), (rf"(?<![^\s{SEP}])(?:null|None|NULL)(?![^\s{SEP}])", "")]
 _OPENS = r"(?:^|[,;；、/&\t\r\n\[{]|\s(?:và|and)\s)\s*$"
 
 
-def _ruled(piece: Column, rules: list[str], to: str = SEP) -> Column:
-    for rule in rules:
+def _ruled(piece: Column, rules: list[tuple[str, str]]) -> Column:
+    for rule, to in rules:
         piece = F.regexp_replace(piece, rule, to)
     return piece
 
 
+def _kept(field: Column) -> Column:
+    """The field without private signs of its own."""
+    held = field.rlike(f"[{SEP}{ESCAPED_QUOTE}{ESCAPED_SLASH}{KEPT}]")
+    out = F.replace(field, F.lit(KEPT), F.lit(KEPT + "3"))
+    for n, sign in enumerate((SEP, ESCAPED_QUOTE, ESCAPED_SLASH)):
+        out = F.replace(out, F.lit(sign), F.lit(f"{KEPT}{n}"))
+    return F.when(held, out).otherwise(field)
+
+
+def _given_back(value: Column) -> Column:
+    out = value
+    for n, sign in enumerate((SEP, ESCAPED_QUOTE, ESCAPED_SLASH, KEPT)):
+        out = F.replace(out, F.lit(f"{KEPT}{n}"), F.lit(sign))
+    return F.when(value.contains(KEPT), out).otherwise(value)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space around it, Unicode blanks included."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -47,8 +65,9 @@ def _unescaped(piece: Column) -> Column:
     return F.when(again.contains("\\"), F.coalesce(parsed, again)).otherwise(piece)
 
 
-def packed_values(field: Column, rules: list[str]) -> Column:
+def packed_values(field: Column, rules: list[tuple[str, str]]) -> Column:
     """The values of a field that may be a JSON array, a printed list or set, quoted or bare delimited text."""
+    field = _kept(field)
     container = field.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$")
     single = container & field.rlike(r"^\s*[\[{]\s*(?:(?:None|null)?\s*,\s*)*'")
     plain = F.when(
@@ -59,8 +78,7 @@ def packed_values(field: Column, rules: list[str]) -> Column:
     pieces = F.when(single, F.split(bare, "'")).when(container, F.split(bare, '"')).otherwise(F.split(plain, '"'))
 
     def in_container(piece: Column, i: Column) -> Column:
-        outside = F.regexp_replace(_ruled(piece, CONTAINER_RULES[:1]), CONTAINER_RULES[1], "")
-        return F.when(i % 2 == 0, outside).otherwise(_unescaped(piece))
+        return F.when(i % 2 == 0, _ruled(piece, CONTAINER_RULES)).otherwise(_unescaped(piece))
 
     def in_text(all_pieces: Column):
         def one(piece: Column, i: Column) -> Column:
@@ -87,7 +105,7 @@ def packed_values(field: Column, rules: list[str]) -> Column:
         .when(container, F.array_join(F.transform(pieces, in_container), ""))
         .otherwise(F.array_join(F.transform(pieces, in_text(pieces)), ""))
     )
-    values = F.transform(F.split(text, SEP), lambda v: trimmed(F.translate(v, ESCAPED_QUOTE + ESCAPED_SLASH, '"\\')))
+    values = F.transform(F.split(text, SEP), lambda v: trimmed(_given_back(F.translate(v, ESCAPED_QUOTE + ESCAPED_SLASH, '"\\'))))
     return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
 
 

@@ -52,8 +52,21 @@ def windows(texts: DataFrame, key: str, text: str = "text", width: int = 1200, o
     return texts.where(F.length(text) > 0).select(key, F.explode(starts).alias("start"), text).select(key, "start", F.substring(F.col(text), F.col("start"), F.lit(width)).alias("part"))
 
 
-def level_parents(nodes: DataFrame, group: str, pos: str, level: str, levels: list[float]) -> DataFrame:
-    """``parent_pos``: the nearest earlier node of a smaller level, by one running maximum per level; null for roots."""
+#: Levels an outline may have; each costs a running maximum.
+MOST_LEVELS = 64
+
+
+def level_parents(nodes: DataFrame, group: str, pos: str, level: str, levels: list[float] | None = None) -> DataFrame:
+    """``parent_pos``: the nearest earlier node of a smaller level, by one running maximum per level; null for roots.
+
+    The levels are looked up if they are not given. A node without level has no parent and is none.
+    """
+    if levels is None:
+        levels = [r[0] for r in nodes.where(F.col(level).isNotNull()).select(level).distinct().limit(MOST_LEVELS + 1).collect()]
+        if len(levels) > MOST_LEVELS:
+            raise ValueError("more levels than MOST_LEVELS")
+    if not levels:
+        return nodes.withColumn("parent_pos", F.lit(None).cast(nodes.schema[pos].dataType))
     before = Window.partitionBy(group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     last = [F.when(F.col(level) > v, F.max(F.when(F.col(level) == v, F.col(pos))).over(before)) for v in levels]
     return nodes.withColumn("parent_pos", F.greatest(*last) if len(last) > 1 else last[0])

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.cutoffs import quota
 from corpusloom.operators.ranking import top_k
 
 
@@ -40,25 +38,35 @@ def joined_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[\p{L},])[ \t]*\n[ \t]*(?=\p{Ll}{2})", " ")
 
 
-def greedy_diverse(df: DataFrame, group: str, target: int = 4, per_group: int = 2, gaps: tuple[float, ...] = (0.34, 0.40, 0.54, 0.80)) -> DataFrame:
-    """Per question: the first item, then by rank those of at least ``gaps[position]`` of the best score, few of a group.
+def greedy_evidence(df: DataFrame, group: str, evidence: str, multi: str, steps: list[tuple[float, float, float]], strong: float, candidates: int = 8) -> DataFrame:
+    """Per question: the first item, then of the next ``candidates`` - 1, best score first, those with enough evidence.
 
-    Only the best ``per_group`` of a group can be chosen: what fails its gap stops all lower scores as well. These
-    candidates of one question are taken in order in one task.
+    ``steps`` has for the second, third, ... place the least evidence of questions for one target and for several
+    (``multi``), and the largest gap to the best score, which items of ``strong`` evidence may exceed. Questions for
+    several targets take up to two items of a group and two groups, others one of one. The choice is a fold over a
+    bounded array inside the JVM. A null evidence is none.
     """
-
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank", kind="stable")
-        best, chosen, used = part["score"].iloc[0], [], {}
-        for at, score, g in zip(part.index, part["score"], part[group], strict=True):
-            if len(chosen) == target:
-                break
-            if not chosen or (used.get(g, 0) < per_group and score >= gaps[min(len(chosen), len(gaps)) - 1] * best):
-                chosen.append(at)
-                used[g] = used.get(g, 0) + 1
-        return part.loc[chosen]
-
-    return quota(df, group, per_group).groupBy("qid").applyInPandas(pick, df.schema)
+    fields = [c for c in df.columns if c != "qid"]
+    listed = df.where(F.col("rank") <= candidates).groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct((F.col("rank") > 1).alias("_later"), (-F.col("score")).alias("_by"), F.col("rank").alias("_rank"), F.struct(*fields).alias("x")))).alias("c")
+    )
+    kind = df.select(F.array(F.struct(*fields)).alias("a")).schema["a"].dataType
+
+    def add(done: Column, c: Column) -> Column:
+        x, n = c["x"], F.size(done)
+        many = F.coalesce(x[multi], F.lit(False))
+        most = F.when(many, 2).otherwise(1)
+        groups = F.array_distinct(F.transform(done, lambda y: y[group]))
+        of_group = F.size(F.filter(done, lambda y: y[group].eqNullSafe(x[group])))
+        place = F.lit(False)
+        for at, (single, several, gap) in enumerate(steps, 1):
+            close = (done[0]["score"] - x["score"] <= gap) | (x[evidence] >= strong)
+            place = F.when(n == at, (x[evidence] >= F.when(many, several).otherwise(single)) & close).otherwise(place)
+        fits = place & (of_group < most) & ((of_group > 0) | (F.size(groups) < most))
+        return F.when((n == 0) | F.coalesce(fits, F.lit(False)), F.concat(done, F.array(x))).otherwise(done)
+
+    chosen = listed.select("qid", F.explode(F.aggregate("c", F.array().cast(kind), add)).alias("x"))
+    return chosen.select("qid", "x.*").select(*df.columns)
 
 
 def knn_two_stage(vectors: DataFrame, every: int = 20, k: int = 10, prefetch: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as X
 from corpusloom.operators import nested, parsing, references, validity
 from corpusloom.operators.packed import articles_of, references_of
-from corpusloom.plans.general import p3_nodes, trees_sql
+from corpusloom.plans.general import REFERENCES_SQL, p3_nodes, trees_sql
 from corpusloom.session import tune
 from corpusloom.sources.tables import first_delivery, table
 
@@ -201,7 +201,7 @@ def coalesce_sources(t):
     return t("legal_doc_registry").select("doc_code").join(a, "doc_code", "left").join(b, "doc_code", "left").select("doc_code", F.coalesce("a", "b").cast("string").alias("eff"), source.alias("src"))
 
 
-@query()
+@query(f"SELECT DISTINCT id, doc_code, domain FROM ({REFERENCES_SQL}) JOIN legal_doc_registry ON law = doc_code")
 def related_refs(t):
     """References of a record's ``extra``, split and looked up in the registry, each once per record."""
     first = first_delivery(t("legal_knowledge_records"), "id", "ingested_at", ["extra"]).where("extra is not null")
@@ -257,16 +257,15 @@ def mode_vote(t):
     return best.select("law", "b.law_name", (-F.col("b.v")).alias("votes"))
 
 
-@query("WITH n AS (SELECT law, no FROM (SELECT " + _CODE_SQL.format(c="law_id") + " law, CAST(regexp_extract(article, '(?i)^điều (\\d{1,9})$', 1) AS VARCHAR) s, TRY_CAST(nullif(s, '') AS BIGINT) no FROM legal_knowledge_records) WHERE no IS NOT NULL AND law IS NOT NULL GROUP BY ALL), g AS (SELECT law, no, lead(no) OVER (PARTITION BY law ORDER BY no) nx FROM n) SELECT law, sum(nx - no - 1)::BIGINT missing FROM g GROUP BY law HAVING count(*) >= 3 AND sum(nx - no - 1) > 0")
-def gap_detect(t):
-    """Article numbers missing between the first and the last of a law, counted from distinct numbers."""
-    number = F.nullif(F.regexp_extract("article", r"(?iu)^điều (\d{1,9})$", 1), F.lit("")).cast("bigint")
-    return _gaps(t("legal_knowledge_records").select(references.law_code(F.col("law_id")).alias("law"), number.alias("no")))
+_LISTED = "CASE WHEN left(trim(article), 1) = '[' AND json_valid(article) THEN array_to_string(from_json(article, '[\"VARCHAR\"]'), ';') ELSE article END"
 
 
-@query()
-def gap_detect_all(t):
-    """``gap_detect`` over every value of the article fields, however written or packed; '22a' supplies 22."""
+@query("WITH n AS (SELECT DISTINCT " + _CODE_SQL.format(c="law_id") + " law, CAST(unnest(regexp_extract_all(regexp_replace(" + _LISTED + ", '\\([^)]*\\)?', ' ', 'g'), '\\d{1,9}')) AS BIGINT) no FROM legal_knowledge_records) SELECT law, max(no) - min(no) + 1 - count(*) missing FROM n WHERE law IS NOT NULL GROUP BY law HAVING count(*) >= 3 AND missing > 0")
+def gap_detect(t):
+    """Article numbers missing between the first and the last of a law, from every value of the article fields.
+
+    However written or packed; '22a' supplies 22.
+    """
     rows = t("legal_knowledge_records").select(references.law_code(F.col("law_id")).alias("law"), F.explode(articles_of(F.col("article"))).alias("value"))
     return _gaps(rows.select("law", references.article_key(F.col("value"))["number"].alias("no")))
 
@@ -327,9 +326,10 @@ def tokenize_stats(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size(X.tokens(F.col("text")))).alias("n_tokens"))
 
 
-@query("SELECT doc_code, replace(lower(strip_accents(canonical_title)), 'đ', 'd') plain FROM legal_doc_registry WHERE regexp_full_match(canonical_title, '[ -~" + X.ACCENTED + X.ACCENTED.upper() + "]*')")
+@query(f"SELECT doc_code, translate(lower(canonical_title), '{X.ACCENTED}', '{X.BASE}') plain FROM legal_doc_registry")
 def accent_strip(t):
-    return t("legal_doc_registry").where(F.col("canonical_title").rlike(f"^[ -~{X.ACCENTED}{X.ACCENTED.upper()}]*$")).select("doc_code", X.unaccented(F.col("canonical_title")).alias("plain"))
+    """Every title; signs the map does not know stay as they are."""
+    return t("legal_doc_registry").select("doc_code", X.unaccented(F.col("canonical_title")).alias("plain"))
 
 
 @query(r"SELECT code, count(*) n FROM (SELECT unnest(regexp_extract_all(extra, '\d{1,4}/\d{4}/\p{Lu}+(?:-\p{Lu}+)?')) code FROM legal_knowledge_records) GROUP BY 1")
@@ -337,10 +337,10 @@ def codes_extract(t):
     return t("legal_knowledge_records").select(F.explode(F.regexp_extract_all("extra", F.lit(f"({X.VIETNAMESE.code})"), 1)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)điều\s+(\d+[a-zđ]?)', 1), lambda x: lower(x)))), ',') nums FROM documents WHERE regexp_matches(text, '(?i)điều\s+\d+')")
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)đi[eề]u\s+(\d+[a-zđ]?)', 1), lambda x: lower(x)))), ',') nums FROM documents WHERE regexp_matches(text, '(?i)đi[eề]u\s+\d+')")
 def article_mentions(t):
-    nums = F.array_sort(X.article_numbers(F.col("text"), X.Profile(article=r"(?iu)điều\s+(\d+[a-zđ]?)")))
-    return t("documents").where(F.col("text").rlike(r"(?iu)điều\s+\d+")).select("doc_id", F.array_join(nums, ",").alias("nums"))
+    nums = F.array_sort(X.article_numbers(F.col("text")))
+    return t("documents").where(F.size(X.article_numbers(F.col("text"))) > 0).select("doc_id", F.array_join(nums, ",").alias("nums"))
 
 
 @query(_DATED + "SELECT id, CAST(eff AS VARCHAR) eff, CAST(exp AS VARCHAR) exp FROM e")
@@ -354,19 +354,10 @@ def html_text(t):
     return t("documents").where(F.col("title").isNotNull() & F.col("lang").isNotNull() & ~F.col("title").rlike(r"[<>\s]{2,}|[<>&]")).select("doc_id", X.html_text(page).alias("body"))
 
 
-@query(r"SELECT doc_id, count(*) n, CAST(sum(length(s)) AS BIGINT) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')) s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY 1")
+@query(r"SELECT doc_id, count(*) n, CAST(sum(length(s)) AS BIGINT) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\x0b]+|\n+', '\1' || chr(1), 'g'), chr(1))), '[ \t\n\r\f\x0b]+', ' ', 'g')) s FROM documents) WHERE s <> '' GROUP BY 1")
 def sentence_split(t):
-    return _sentence_counts(t("documents").where("lang = 'en'"))
-
-
-@query()
-def sentence_split_all(t):
-    """``sentence_split`` over the documents of every language, and of none."""
-    return _sentence_counts(t("documents"))
-
-
-def _sentence_counts(documents):
-    s = parsing.sentences(documents, "doc_id")
+    """Sentences and their characters, of the documents of every language and of none."""
+    s = parsing.sentences(t("documents"), "doc_id")
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
@@ -375,9 +366,10 @@ def pack_chunks(t):
     return parsing.packed_chunks(t("documents"), "doc_id")
 
 
-@query()
+@query(r"""WITH b AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(^|\n)(Điều[ \t\n\r\f\x0b]+\d)', '\1' || chr(1) || '\2', 'g'), chr(1))) body, generate_subscripts(string_split_regex(regexp_replace(text, '(^|\n)(Điều[ \t\n\r\f\x0b]+\d)', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) k FROM documents),
+c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) pos, body FROM b WHERE NOT (k = 1 AND body = '')) SELECT doc_id, pos, coalesce(nullif(regexp_extract(body, '^Điều[ \t\n\r\f\x0b]+(\d+)', 1), ''), '0') number, trim(body) body FROM c WHERE length(trim(body)) >= 20""")
 def article_split(t):
-    return parsing.articles(t("documents"), "doc_id").select("doc_id", "pos", "number", F.length("body").alias("n_chars"))
+    return parsing.articles(t("documents"), "doc_id")
 
 
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) n_windows FROM (SELECT doc_id, unnest(range(1, greatest(length(text) - 200, 1) + 1, 1000)) s FROM documents WHERE length(text) > 0) GROUP BY 1")
@@ -440,21 +432,11 @@ def subtree_totals(t):
     return up.groupBy("tree_id", F.array_join(F.slice("s", 1, F.col("k")), ".").alias("node_path")).agg(F.sum("own").alias("n_words"))
 
 
-def _tree_parents(events):
-    e = events.select(F.col("event_id").alias("pos"), F.col("user_id").alias("grp"), F.floor("value").cast("int").alias("r")).withColumn("lvl", F.col("r") % 5)
-    return parsing.level_parents(e, "grp", "pos", "lvl", [-4, -3, -2, -1, 0, 1, 2, 3, 4]).select("grp", "pos", "parent_pos")
-
-
-@query("WITH e AS (SELECT event_id pos, user_id grp, CAST(floor(value) AS INTEGER) % 5 lvl FROM events WHERE user_id < 20) SELECT a.grp, a.pos, max(b.pos) parent_pos FROM e a LEFT JOIN e b ON a.grp = b.grp AND b.pos < a.pos AND b.lvl < a.lvl GROUP BY 1, 2")
+@query("WITH e AS (SELECT event_id pos, user_id grp, CAST(floor(value) AS INTEGER) % 5 lvl FROM events) SELECT a.grp, a.pos, max(b.pos) parent_pos FROM e a LEFT JOIN e b ON a.grp = b.grp AND b.pos < a.pos AND b.lvl < a.lvl GROUP BY 1, 2")
 def tree_parent(t):
-    """Parents by level, nearest earlier node of a smaller one, on event streams read as outlines."""
-    return _tree_parents(t("events").where("user_id < 20"))
-
-
-@query()
-def tree_parent_all(t):
-    """``tree_parent`` over every event; an event without user has no parent."""
-    p = _tree_parents(t("events"))
+    """Parents by level, nearest earlier node of a smaller one, on event streams read as outlines; none without a user."""
+    e = t("events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("grp"), F.floor("value").cast("int").alias("r")).withColumn("lvl", F.col("r") % 5)
+    p = parsing.level_parents(e, "grp", "pos", "lvl").select("grp", "pos", "parent_pos")
     return p.withColumn("parent_pos", F.when(F.col("grp").isNotNull(), F.col("parent_pos")))
 
 

@@ -134,11 +134,15 @@ def _judged(spark, d):
 
 
 def prf2_macro(spark, d):
-    return evaluate.macro(evaluate.per_query(*_judged(spark, d)))
+    return evaluate.macro(evaluate.per_query(*_judged(spark, d), _customers(spark, d)))
+
+
+def _customers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("qid"))
 
 
 def prf2_by_query(spark, d):
-    s = evaluate.per_query(*_judged(spark, d))
+    s = evaluate.per_query(*_judged(spark, d), _customers(spark, d))
     return s.select("qid", *[F.round(c, 6).alias(c) for c in ("p", "r", "f2")])
 
 
@@ -212,7 +216,7 @@ SELECT qid, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITI
 
 _GRAMS = "CASE WHEN length(text) >= 4 THEN list_transform(range(1, CAST(length(text) - 2 AS BIGINT)), lambda i: substr(lower(text), i, 4)) ELSE [] END"
 _SEL = "SELECT qid, item_id, score, rank FROM "
-_JUDGED = _R + ", p AS (SELECT qid, item_id FROM r WHERE rank <= 5), g AS (SELECT qid, item_id FROM r WHERE grp IN ('1-URGENT', '2-HIGH')), m AS (SELECT coalesce(p.qid, g.qid) qid, count(p.item_id) np, count(g.item_id) ng, count(*) FILTER (p.item_id IS NOT NULL AND g.item_id IS NOT NULL) hit FROM p FULL JOIN g ON p.qid = g.qid AND p.item_id = g.item_id GROUP BY 1), s AS (SELECT qid, CASE WHEN np = 0 THEN 0.0 ELSE hit / np END p, CASE WHEN ng = 0 THEN 1.0 ELSE hit / ng END r FROM m), e AS (SELECT *, CASE WHEN 4 * p + r = 0 THEN 0.0 ELSE 5 * p * r / (4 * p + r) END f2 FROM s) "
+_JUDGED = _R + ", p AS (SELECT qid, item_id FROM r WHERE rank <= 5), g AS (SELECT qid, item_id FROM r WHERE grp IN ('1-URGENT', '2-HIGH')), m AS (SELECT coalesce(p.qid, g.qid) qid, count(p.item_id) np, count(g.item_id) ng, count(*) FILTER (p.item_id IS NOT NULL AND g.item_id IS NOT NULL) hit FROM p FULL JOIN g ON p.qid = g.qid AND p.item_id = g.item_id GROUP BY 1), s AS (SELECT c_custkey qid, CASE WHEN coalesce(np, 0) = 0 THEN CASE WHEN coalesce(ng, 0) = 0 THEN 1.0 ELSE 0.0 END ELSE hit / np END p, CASE WHEN coalesce(ng, 0) = 0 THEN 1.0 ELSE hit / ng END r FROM customer LEFT JOIN m ON qid = c_custkey), e AS (SELECT *, CASE WHEN 4 * p + r = 0 THEN 0.0 ELSE 5 * p * r / (4 * p + r) END f2 FROM s) "
 
 
 def _rrf_sql(base, w=(1.0, 1.0)):
@@ -232,7 +236,7 @@ ORACLE = {
     "cut_fixed": _R + _SEL + "(SELECT *, count(*) FILTER (score >= 0.8) OVER (PARTITION BY qid) k FROM r) WHERE CASE WHEN k >= 2 THEN score >= 0.8 ELSE rank <= 2 END",
     "cut_ratio": _relative_sql(0.3, 1, 5, -1e9),
     "cut_adaptive": _relative_sql(0.7, 2, 6, 0.4),
-    "cut_keep_ratio": _relative_sql(0.9, 2, 1000, -1e9, "score > 0"),
+    "cut_keep_ratio": _relative_sql(0.9, 2, 1_000_000_000, -1e9, "score > 0"),
     "cut_margin": _R + _SEL + "(SELECT *, max(score) OVER (PARTITION BY qid) b FROM r) WHERE rank = 1 OR (rank <= 5 AND score >= 0.3 AND score >= b - CAST(0.15 AS DOUBLE))",
     "cut_softfloor": _relative_sql(0.0, 1, 7, 0.38),
     "largest_gap": _R + ", g AS (SELECT *, score - lead(score) OVER (PARTITION BY qid ORDER BY rank) gap, count(*) OVER (PARTITION BY qid) n FROM r), m AS (SELECT *, max(gap) OVER (PARTITION BY qid) mg FROM g), c AS (SELECT *, min(CASE WHEN gap = mg THEN rank END) OVER (PARTITION BY qid) cr FROM m) " + _SEL + "c WHERE n <= 2 OR mg IS NULL OR mg < 0.05 OR rank <= greatest(cr, 2)",

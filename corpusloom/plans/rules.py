@@ -30,7 +30,11 @@ def line_repair(spark, d):
 
 
 def greedy_select(spark, d):
-    return sequential.greedy_diverse(_orders(spark, d), "grp").select("qid", "item_id", "score", "rank")
+    """Orders with enough evidence (here: the last digits of the key), of few priorities; even customers seek several."""
+    # Least evidence for one and for several targets, and largest gap, at the second to fourth place.
+    steps = [(0.40, 0.34, 0.11), (0.80, 0.54, 0.06), (1.00, 1.00, 0.06)]
+    r = _orders(spark, d).withColumn("evidence", F.col("item_id") % 101 / 100).withColumn("multi", F.col("qid") % 2 == 0)
+    return sequential.greedy_evidence(r, "grp", "evidence", "multi", steps, strong=0.62).select("qid", "item_id", "score", "rank")
 
 
 def knn_prefetch(spark, d):
@@ -88,7 +92,14 @@ def topic_quota(spark, d):
 QUERIES = {f.__name__: f for f in (numbering_gate, label_points, line_repair, greedy_select, knn_prefetch, metadata_adjust, primary_sub_mean, cascade_ids, stage_recall, answer_rules, topic_quota)}
 
 _CLEAN = r"nullif(upper(regexp_replace(d.doc_code, '\s', '', 'g')), '')"
+_FITS = "multi AND evidence >= {least} AND (top - score <= CAST({gap} AS DOUBLE) OR evidence >= 0.62)"
 ORACLE = {
+    "line_repair": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\n')) - len(regexp_extract_all(regexp_replace(text, '([\p{L},])[ \t]*\n[ \t]*(\p{Ll}{2})', '\1 \2', 'g'), '\n')) AS INTEGER) n_joined FROM documents WHERE n_joined > 0",
+    "greedy_select": _R + ", c AS (SELECT *, item_id % 101 / 100 evidence, qid % 2 = 0 multi, max(score) OVER (PARTITION BY qid) top, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) k FROM r WHERE rank <= 8), a AS (SELECT qid, grp g1 FROM c WHERE k = 1), "
+    "b AS (SELECT qid, min(k) k2, arg_min(grp, k) g2 FROM c WHERE k > 1 AND " + _FITS.format(least="0.34", gap="0.11") + " GROUP BY qid), "
+    "d AS (SELECT c.qid, min(k) k3, arg_min(grp, k) g3 FROM c JOIN a USING (qid) JOIN b USING (qid) WHERE k > k2 AND " + _FITS.format(least="0.54", gap="0.06") + " AND CAST(grp = g1 AS INTEGER) + CAST(grp = g2 AS INTEGER) < 2 AND (grp IN (g1, g2) OR g1 = g2) GROUP BY c.qid), "
+    "e AS (SELECT c.qid, min(k) k4 FROM c JOIN a USING (qid) JOIN b USING (qid) JOIN d USING (qid) WHERE k > k3 AND " + _FITS.format(least="1.00", gap="0.06") + " AND CAST(grp = g1 AS INTEGER) + CAST(grp = g2 AS INTEGER) + CAST(grp = g3 AS INTEGER) < 2 AND (grp IN (g1, g2, g3) OR (g1 = g2 AND g2 = g3)) GROUP BY c.qid) "
+    "SELECT c.qid, item_id, score, rank FROM c LEFT JOIN b USING (qid) LEFT JOIN d USING (qid) LEFT JOIN e USING (qid) WHERE k = 1 OR k = k2 OR k = k3 OR k = k4",
     "metadata_adjust": _R + "SELECT qid, item_id, round(score + (CASE status WHEN 'P' THEN CAST(-0.10 AS DOUBLE) WHEN 'O' THEN CAST(0.02 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END + least(CAST(0.05 AS DOUBLE), CAST(0.01 AS DOUBLE) * (\"year\" - 1992))), 6) score FROM r WHERE rank <= 10",
     "primary_sub_mean": _R + ", s AS (SELECT qid, max(score) FILTER (rank = 1) a, avg(score) FILTER (rank > 1) b FROM r GROUP BY qid) SELECT qid, round(CASE WHEN b IS NULL THEN a ELSE CAST(0.7 AS DOUBLE) * a + CAST(0.3 AS DOUBLE) * b END, 6) score FROM s",
     "cascade_ids": f"WITH t AS (SELECT lower(trim(canonical_title)) t, min(doc_code) z FROM legal_doc_registry GROUP BY 1) SELECT doc_id, coalesce(x.doc_code, y.doc_code, z) entry, CASE WHEN x.doc_code IS NOT NULL THEN 'exact' WHEN y.doc_code IS NOT NULL THEN 'cleaned' WHEN z IS NOT NULL THEN 'title' END step FROM documents d LEFT JOIN legal_doc_registry x ON d.doc_code = x.doc_code LEFT JOIN legal_doc_registry y ON {_CLEAN} = y.doc_code LEFT JOIN t ON lower(trim(d.title)) = t.t",

@@ -43,9 +43,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on this machine.
+
+    On a cluster a folder of one machine would be lost on the others, so the setting is required there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _written.append((spark, folder))

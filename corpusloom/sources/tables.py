@@ -14,13 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer than half as many parts, as one small file does; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    """``df`` over all cores if it is one file, which may give a single part; a table of several files stays as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table whose rows are worked on at length, spread over the cores."""
+    """The columns of a table whose rows are worked on at length, spread over the cores."""
     df = table(spark, sf_dir, name)
     return spread(df.select(*columns) if columns else df)
 

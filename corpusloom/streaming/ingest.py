@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.connectors import upserted
+from corpusloom.session import written
+from corpusloom.sources.connectors import folder_exists
+from corpusloom.sources.tables import delivery_order
 
 
 def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -30,18 +32,31 @@ def once_each(records: DataFrame, key: str, at: str, late: str = "400 days") ->
     return records.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
-def ingest(records: DataFrame, target: str, key: list[str], checkpoint: str):
-    """Start a query that upserts each batch into generations of a Parquet table under ``target``.
+#: Parts of an ingested table; a batch rewrites only those its keys fall into.
+BUCKETS = 256
 
-    A batch writes ``target/{batch}`` from the generation before it, so a batch that is run again after a failure
-    writes the same rows to the same place.
+
+def earliest(rows: DataFrame, key: list[str], at: str) -> DataFrame:
+    """The earliest delivery of each key; one without time comes last."""
+    return rows.groupBy(*key).agg(F.min_by(F.struct("*"), delivery_order(at)).alias("_row")).select("_row.*")
+
+
+def ingest(records: DataFrame, target: str, key: list[str], at: str, checkpoint: str, buckets: int = BUCKETS):
+    """Start a query that keeps the earliest delivery of each key in a Parquet table under ``target``, in buckets of keys.
+
+    A batch reads and replaces the buckets it touches and no others. Since the earliest delivery stays the earliest, a
+    batch that is run again after a failure changes nothing.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        new = rows.dropDuplicates(key)
-        if number:
-            new = upserted(spark.read.parquet(f"{target}/{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{target}/{number}")
+        new = written(earliest(rows, key, at).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        if folder_exists(spark, target):
+            old = spark.read.schema(new.schema).parquet(target).where(F.col("bucket").isin(touched))
+            new = written(earliest(old.unionByName(new), key, at), "merged")
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

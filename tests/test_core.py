@@ -48,6 +48,16 @@ def test_packed_references_round_trip(spark):
         assert got == refs[-len(got) :] and len(got) >= 2, packing
 
 
+def test_packed_fields_of_any_length(spark):
+    """No bound on brackets, blanks or numbers, and no sign of the field's own is a delimiter."""
+    long = " (" + "khoản 1, " * 40 + "điểm a)"
+    refs = [f"1/2030/LX|Luật A|Điều 4{long}", "2/2031/LX|Luật B, kè|    Điều     123456789", "3/2032/LX|Luật C|Điều 5"]
+    assert values(spark, "extra", [", ".join(refs), ",   ,".join(refs), "," + refs[0]]) == [refs, refs, refs[:1]]
+    own = "Điều 1\ue000a; Điều 2\ue001\ue003; \ue0020"
+    assert values(spark, "article", [own, "\ue0030; \ue000"]) == [["Điều 1\ue000a", "Điều 2\ue001\ue003", "\ue0020"], ["\ue0030", "\ue000"]]
+    assert values(spark, "extra", ['["a\ue000b", "c\\"d"]']) == [["a\ue000b", 'c"d']]
+
+
 def test_first_delivery_takes_the_earliest(spark):
     rows = [{"id": 1, "article": "b", "ingested_at": AT}, {"id": 1, "article": "a", "ingested_at": AT - dt.timedelta(days=1)}, {"id": 1, "article": "c", "ingested_at": None}, {"id": None, "article": "x"}]
     assert [(r.id, r.article) for r in first_delivery(records(spark, rows), "id", "ingested_at", ["article"]).collect()] == [(1, "a")]
@@ -230,12 +240,16 @@ def test_metrics(spark):
     key = lambda rows: spark.createDataFrame(rows, "qid int, key int")
     got = {r.qid: (r.p, r.r, r.f2) for r in evaluate.per_query(key([(1, 4), (1, 5), (2, 4)]), key([(1, 4), (1, 17), (2, 4), (2, 17)])).collect()}
     assert got[1] == (0.5, 0.5, 0.5) and got[2] == (1.0, 0.5, pytest.approx(2.5 / 4.5))
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "qid int")
+    got = evaluate.per_query(key([(1, 4), (2, 4)]), key([(1, 4), (3, 4)]), asked)
+    assert {r.qid: (r.p, r.r, r.f2) for r in got.collect()} == {1: (1.0, 1.0, 1.0), 2: (0.0, 1.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (1.0, 1.0, 1.0)}
+    assert evaluate.macro(got).first().n == 4
 
 
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
-    vn = X.Profile(article=r"(?iu)điều\s+(\d+[a-zđ]?)")
-    assert one(X.article_numbers(F.lit("theo Điều 112a và điều  112 của Luật"), vn)) == ["112a", "112"]
+    for text, want in [("theo Điều 112a và Điều 112 của Luật", ["112a", "112"]), ("điều 5, Điều  17", ["5", "17"]), ("Theo ĐIỀU 12 và Điều 24", ["12", "24"]), ("khoản 3 Điều 7 năm 2020", ["7"])]:
+        assert one(X.article_numbers(F.lit(text))) == want
     assert one(X.unaccented(F.lit("Điều ĐƯỜNG"))) == "dieu duong"
     assert one(X.mixed_date(F.lit("31/02/2039"))) is None and one(X.mixed_date(F.lit("17-02-2040"))) == dt.date(2040, 2, 17)
     assert one(X.roman(F.lit(1994))) == "MCMXCIV" and one(X.clean_null(F.lit(" nan "))) is None
@@ -261,7 +275,20 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.n for r in spark.table("counts").collect()) == 200
-    q = streaming.ingest(streaming.event_stream(spark, str(tmp_path / "in"), df.schema, 1), str(tmp_path / "out"), ["event_id"], str(tmp_path / "cp"))
+    q = streaming.ingest(streaming.event_stream(spark, str(tmp_path / "in"), df.schema, 1), str(tmp_path / "out"), ["event_id"], "ts", str(tmp_path / "cp"), 4)
     q.awaitTermination(120)
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
-    assert spark.read.parquet(str(tmp_path / "out" / str(last))).count() == 200
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_ingest_keeps_the_earliest_delivery(spark, tmp_path):
+    """Later files bring earlier and later deliveries of known keys; only what a batch touches is rewritten."""
+    at = lambda day: dt.datetime(2024, 1, day)
+    files = [[(k, at(10), f"a{k}") for k in range(40)], [(1, at(5), "earlier"), (2, at(15), "later"), (3, None, "never")], [(1, at(7), "between"), (50, None, "alone"), (1, at(4), "first")]]
+    q = None
+    for n, rows in enumerate(files):
+        spark.createDataFrame(rows, "k int, ts timestamp, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        schema = "k int, ts timestamp, v string"
+        q = streaming.ingest(streaming.event_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), ["k"], "ts", str(tmp_path / "cp"), 8)
+        q.awaitTermination(120)
+    got = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {k: f"a{k}" for k in range(40)} | {1: "first", 50: "alone"}

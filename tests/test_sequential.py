@@ -30,11 +30,41 @@ def test_labels_and_lines(spark):
     assert [r.v for r in rows] == ["abc", "", "", "", ""] and rows[0].j == "broken line. Kept\nLine"
 
 
-def test_greedy_diverse(spark):
-    rows = [(1, i, s, g) for i, (s, g) in enumerate([(1.0, "a"), (0.9, "a"), (0.85, "a"), (0.5, "b"), (0.3, "c")])] + [(2, 7, 0.1, "a")]
-    ranked = ranking.ranked(spark.createDataFrame(rows, "qid int, item_id int, score double, g string"))
-    assert sorted((r.qid, r.item_id) for r in sequential.greedy_diverse(ranked, "g").collect()) == [(1, 0), (1, 1), (1, 3), (2, 7)]
-    assert sequential.greedy_diverse(ranked.limit(0), "g").count() == 0
+def picked(rows, steps, strong):
+    """Brute force of the rule: one item after another."""
+    out = set()
+    for q in {r[0] for r in rows}:
+        listed = sorted((r for r in rows if r[0] == q), key=lambda r: r[2])[:8]
+        listed = listed[:1] + sorted(listed[1:], key=lambda r: (-r[3], r[2]))
+        chosen = []
+        for r in listed:
+            if not chosen:
+                chosen.append(r)
+                continue
+            if len(chosen) > len(steps):
+                break
+            single, several, gap = steps[len(chosen) - 1]
+            most = 2 if r[6] else 1
+            if sum(x[4] == r[4] for x in chosen) >= most or (r[4] not in {x[4] for x in chosen} and len({x[4] for x in chosen}) >= most):
+                continue
+            if r[5] is not None and r[5] >= (several if r[6] else single) and (chosen[0][3] - r[3] <= gap or r[5] >= strong):
+                chosen.append(r)
+        out |= {r[:2] for r in chosen}
+    return out
+
+
+def test_greedy_evidence(spark):
+    rng = random.Random(5)
+    steps = [(0.40, 0.34, 0.11), (0.80, 0.54, 0.06), (1.00, 1.00, 0.06)]
+    rows = []
+    for q in range(60):
+        scores = sorted((rng.choice([0.9, 0.85, rng.random()]) for _ in range(rng.randint(1, 12))), reverse=True)
+        several = rng.choice([True, True, False, None])
+        rows += [(q, 100 * q + k, k + 1, x, rng.choice(["a", "a", "b", "c", None]), rng.choice([None, 0.35, 0.6, 0.9, 1.0]), several) for k, x in enumerate(scores)]
+    df = spark.createDataFrame(rows, "qid int, item_id int, rank int, score double, g string, e double, m boolean")
+    got = sequential.greedy_evidence(df, "g", "e", "m", steps, 0.62)
+    assert {(r.qid, r.item_id) for r in got.collect()} == picked(rows, steps, 0.62) and got.columns == df.columns
+    assert sequential.greedy_evidence(df.limit(0), "g", "e", "m", steps, 0.62).count() == 0
 
 
 def test_two_stage_neighbours(spark):

@@ -23,7 +23,7 @@ def test_tree_parents_of_all_users(spark, tmp_path):
     for i, user, v in rows:
         above = [j for j, u, w in rows if u is not None and u == user and j < i and None not in (v, w) and level(w) < level(v)]
         want[i] = (user, max(above, default=None))
-    got = run(spark, tmp_path, "tree_parent_all", "events", rows, "event_id bigint, user_id bigint, value double")
+    got = run(spark, tmp_path, "tree_parent", "events", rows, "event_id bigint, user_id bigint, value double")
     assert {r.pos: (r.grp, r.parent_pos) for r in got} == want and len(got) == 300
     assert sum(1 for u, p in want.values() if p is not None and u >= 20) > 30
 
@@ -36,7 +36,7 @@ def test_sentences_of_all_languages(spark, tmp_path):
         parts = [p for p in (re.sub(r"[ \t\n\x0b\f\r]+", " ", p).strip(" ") for p in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+", t or "")) if p]
         if parts:
             want[i] = (len(parts), sum(map(len, parts)))
-    got = run(spark, tmp_path, "sentence_split_all", "documents", rows, "doc_id bigint, lang string, text string")
+    got = run(spark, tmp_path, "sentence_split", "documents", rows, "doc_id bigint, lang string, text string")
     assert {r.doc_id: (r.n, r.n_chars) for r in got} == want and len(want) == 12
 
 
@@ -54,7 +54,7 @@ def test_gaps_of_all_spellings(spark, tmp_path):
         if law and len(have) >= 3 and (missing := set(range(min(have), max(have) + 1)) - have):
             want[law] = len(missing)
     rows = [(law and law.lower() + " ", a) for law, listed in fields.items() for a, _ in listed]
-    got = run(spark, tmp_path, "gap_detect_all", "legal_knowledge_records", rows, "law_id string, article string")
+    got = run(spark, tmp_path, "gap_detect", "legal_knowledge_records", rows, "law_id string, article string")
     assert {r.law: r.missing for r in got} == want and len(want) == 2
 
 
@@ -71,22 +71,6 @@ def test_keep_ratio_has_no_maximum(spark, tmp_path):
     assert {r.item_id for r in got} == {*range(1500), 6000, 6001} and len(got) == 1502
 
 
-def test_greedy_select_sees_every_group(spark, tmp_path):
-    rng = random.Random(9)
-    rows = [(1, i, 1 - i / 1000, "a") for i in range(40)] + [(1, 50, 0.9, "b"), (1, 51, 0.6, "c"), (1, 52, 0.5, "d")]
-    rows += [(c, 100 * c + i, rng.choice([1.0, 0.7, 0.45, rng.random()]), rng.choice("aaaaaabc")) for c in range(2, 30) for i in range(60)]
-    want = set()
-    for c in {r[0] for r in rows}:
-        listed = sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], r[1]))
-        chosen = []
-        for r in listed:
-            if len(chosen) < 4 and (not chosen or (sum(x[3] == r[3] for x in chosen) < 2 and r[2] >= (0.34, 0.40, 0.54, 0.80)[len(chosen) - 1] * listed[0][2])):
-                chosen.append(r)
-        want |= {r[:2] for r in chosen}
-    got = run(spark, tmp_path, "greedy_select", "orders", orders(rows), ORDERS)
-    assert {(r.qid, r.item_id) for r in got} == want and {(1, 0), (1, 1), (1, 50), (1, 51)} <= want
-
-
 def test_names_of_the_contract_exist_or_are_listed_as_left_out():
     import __spark_entry__ as entry
 
