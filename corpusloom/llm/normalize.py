@@ -1,18 +1,22 @@
 """One consistent form for text that looks the same (problem 7).
 
-Every token is judged by the scripts its letters resolve to. The sets of all letters are intersected: an
-empty intersection is a mixed-script token, which is respelled in the script every letter has a look-alike
-in (Latin first). A token whose letters all belong to one foreign script but all have Latin look-alikes is a
-whole-script confusable: reported, and respelled only on request, since words wholly in Greek or Cyrillic
-are content. What remains (full-width forms, blanks, invisible signs, uncomposed accents) is normalised by
-form. Clean text, nearly all of it, is recognised by one regular expression and never taken apart.
+Every token is judged by the scripts its letters resolve to: each letter has the set of scripts it can be read in, its
+own and those of the letters that look like it. If the letters' own scripts have nothing in common, the token is of
+mixed script, and it is respelled in a script of the intersection of their resolved sets, Latin first. A token whose
+letters all belong to one foreign script but can all be read as Latin is a whole-script confusable: reported, and
+respelled only on request, since words wholly in Greek or Cyrillic are content. The script of a letter is taken from its
+Unicode name, so every script is covered. What remains (full-width forms, mathematical and script letters, blanks,
+invisible signs, uncomposed accents) is normalised by form. Encircled letters and the like are signs, not letters, and
+stay. Clean text, nearly all of it, is recognised by one regular expression and never taken apart.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,19 +24,22 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources.tables import delivery_order
 
-# Letters of other scripts that look like the Latin letter beside them.
-CYRILLIC_LIKE = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝѵү", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwvy", strict=True))
-GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχϲϳ", "ABEZHIKMNOPTYXayikvopuxcj", strict=True))
-LATIN_LIKE = {"ð": "đ", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ꞵ": "b", "ꓲ": "I"}
+# Letters of other scripts that look like the Latin letter before them.
+LOOK_ALIKES = {
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "ԌᏀꓖ", "H": "НΗᎻⲎꓧ", "I": "ІΙⲒꓲ", "J": "ЈᎫꓙ",
+    "K": "КΚᏦⲔꓗ", "L": "Ꮮꓡ", "M": "МΜᎷⲘꓟ", "N": "ΝⲚꓠ", "O": "ОΟՕⲞꓳ", "P": "РΡᏢⲢꓑ", "Q": "Ԛ", "R": "ᏒꓣᎡ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢⲦꓔ",
+    "U": "Սꓴ", "V": "ᏙꓦѴ", "W": "ԜᎳꓪ", "X": "ХΧⲬꓫ", "Y": "УҮΥⲨꓬ", "Z": "ΖᏃꓜ",
+    "a": "аα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "κ", "n": "ո", "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛզ",
+    "s": "ѕ", "u": "υս", "v": "ѵν", "w": "ԝ", "x": "хχ", "y": "уүγ",
+}
+LATIN_LIKE = {"ð": "đ", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ꞵ": "b"}
 # Signs that print nothing, and blanks that are not the plain blank.
 INVISIBLE = r"\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
 BLANKS = r"\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 ALIKE_SIGNS = {"\u2010": "-", "\u2011": "-", "\u037e": ";", "\u02bc": "'"}
 CIRCUMFLEX_LIKE, TONES = "\u031b\u0302\u0306", "\u0323\u0300\u0301\u0303\u0309"
 
-_TO_LATIN = CYRILLIC_LIKE | GREEK_LIKE
-_TO_CYRILLIC = {v: k for k, v in CYRILLIC_LIKE.items()}
-_TO_GREEK = {v: k for k, v in GREEK_LIKE.items()}
+_TO_LATIN = {c: latin for latin, alike in LOOK_ALIKES.items() for c in alike}
 _CLEAN = "".join(
     sorted(
         {unicodedata.normalize("NFC", b + m) for b in "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY" for m in ["", *TONES]} | set("đĐ")
@@ -41,48 +48,56 @@ _CLEAN = "".join(
 _SUSPECT = re.compile(f"[^\n\t\r -~{_CLEAN}“”‘’–—…«»²³¹½¼¾№§°·•×£€©®]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}\U000e0000-\U000e007f\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _BLANK = re.compile(f"[{BLANKS}]")
-_WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06\U0001d400-\U0001d7ff]")
+_SCRIPT_LETTERS = "".join(c for c in map(chr, range(0x2100, 0x2150)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFKC", c).isascii())
+_WIDE = re.compile(f"[\uff01-\uff5e\ufb00-\ufb06\U0001d400-\U0001d7ff{_SCRIPT_LETTERS}]")
 _MARKS = re.compile("[\u0300-\u036f]")
 _MARK_RUN = re.compile(f"[{CIRCUMFLEX_LIKE}{TONES}]{{2,}}")
-_FOREIGN = re.compile("[Ͱ-ԯἀ-῿]")
-_CHUNK = re.compile(r"\S*[Ͱ-ԯἀ-῿]\S*")
+_FOREIGN = re.compile("[Ͱ-ԯἀ-῿" + "".join(_TO_LATIN) + "]")
+_CHUNK = re.compile(r"\S*" + _FOREIGN.pattern + r"\S*")
 _LETTERS = re.compile(r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f][^\W\d_]*)*")
 _LATIN_LIKE = re.compile("[" + "".join(LATIN_LIKE) + "]")
 
 
-def scripts(char: str) -> frozenset[str]:
-    """The scripts a letter resolves to: its own, and Latin for a look-alike; every script for other signs."""
-    code = ord(char)
-    if 0x400 <= code <= 0x52F:
-        return frozenset({"Cyrl"})
-    if 0x370 <= code <= 0x3FF or 0x1F00 <= code <= 0x1FFF:
-        return frozenset({"Grek"})
-    if unicodedata.category(char)[0] == "L" and (code < 0x250 or 0x1E00 <= code <= 0x1EFF):
-        return frozenset({"Latn"})
-    return frozenset({"Latn", "Cyrl", "Grek"})
+@cache
+def script(char: str) -> str:
+    """The script of a letter, by the first word of its Unicode name; '' for what is no letter of a script."""
+    if unicodedata.category(char)[0] != "L":
+        return ""
+    first = unicodedata.name(char, "").split(" ")[0]
+    return "" if first in ("MODIFIER", "MATHEMATICAL", "FEMININE", "MASCULINE", "MICRO") else first
+
+
+@cache
+def spellings(char: str) -> dict[str, str]:
+    """How a letter can be spelled in each script that has it or a look-alike; {} for signs, which any script takes."""
+    own = script(char)
+    if not own:
+        return {}
+    latin = _TO_LATIN.get(char, char if char in LOOK_ALIKES else None)
+    out = {script(c): c for c in reversed(LOOK_ALIKES[latin])} | {"LATIN": latin} if latin else {}
+    return out | {own: char}
 
 
 def judge(token: str) -> str:
     """'single', 'mixed' or 'whole' (all letters of one foreign script, each with a Latin look-alike)."""
-    common = frozenset({"Latn", "Cyrl", "Grek"})
-    for char in token:
-        common &= scripts(char)
-        if not common:
-            return "mixed"
-    letters = [c for c in token if c.isalpha()]
-    foreign = "Latn" not in common and letters and all(c in _TO_LATIN for c in letters)
-    return "whole" if foreign else "single"
+    own = {s for c in token if (s := script(c))}
+    if len(own) > 1:
+        return "mixed"
+    return "whole" if own and own != {"LATIN"} and all("LATIN" in spellings(c) for c in token if script(c)) else "single"
 
 
 def respell(token: str, whole_script: bool = False) -> str:
-    """The token in the one script in which every letter has a spelling, Latin first; unchanged if there is none."""
+    """The token in a script in which every letter has a spelling: Latin, else the commonest; unchanged if there is none."""
     kind = judge(token)
     if kind == "single" or (kind == "whole" and not whole_script):
         return token
-    for table, script in ((_TO_LATIN, "Latn"), (_TO_CYRILLIC, "Cyrl"), (_TO_GREEK, "Grek")):
-        if all(script in scripts(c) or c in table for c in token):
-            return "".join(c if script in scripts(c) else table[c] for c in token)
-    return token
+    letters = [c for c in token if script(c)]
+    common = set.intersection(*(set(spellings(c)) for c in letters))
+    if not common:
+        return token
+    counts = Counter(map(script, letters))
+    chosen = min(common, key=lambda s: (s != "LATIN", -counts[s], s))
+    return "".join(spellings(c).get(chosen, c) for c in token)
 
 
 def _chunk(match: re.Match, whole_script: bool) -> str:

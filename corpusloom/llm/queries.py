@@ -9,12 +9,12 @@ from corpusloom.session import tune
 from corpusloom.sources.tables import table, wide
 
 
-def _records(spark, sf_dir):
-    return wide(tune(spark), sf_dir, "legal_knowledge_records")
+def _records(spark, sf_dir, *columns):
+    return wide(tune(spark), sf_dir, "legal_knowledge_records", "id", "ingested_at", *columns)
 
 
 def p1_pieces(spark, sf_dir):
-    return split.all_pieces(_records(spark, sf_dir), wide(spark, sf_dir, "tree_output"))
+    return split.all_pieces(_records(spark, sf_dir, "content"), wide(spark, sf_dir, "tree_output"))
 
 
 def p1_found(spark, sf_dir):
@@ -26,36 +26,36 @@ def p2_found(spark, sf_dir):
 
 
 def p2_mapped(spark, sf_dir):
-    return canon.mapped_records(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
+    return canon.mapped_records(_records(spark, sf_dir, "law_name"), table(spark, sf_dir, "legal_doc_registry"))
 
 
 def p2_unmatched(spark, sf_dir):
-    return canon.unmatched_names(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
+    return canon.unmatched_names(_records(spark, sf_dir, "law_name"), table(spark, sf_dir, "legal_doc_registry"))
 
 
 def p4_found(spark, sf_dir):
-    return neardup.similar_records(_records(spark, sf_dir))
+    return neardup.similar_records(_records(spark, sf_dir, "content"))
 
 
 def p4_groups(spark, sf_dir):
-    return neardup.similar_groups(_records(spark, sf_dir))
+    return neardup.similar_groups(_records(spark, sf_dir, "content"))
 
 
 def p4_pairs(spark, sf_dir):
     """Similar pairs of representatives; p4_members has the records they stand for."""
-    return neardup.similar_representatives(_records(spark, sf_dir))
+    return neardup.similar_representatives(_records(spark, sf_dir, "content"))
 
 
 def p4_members(spark, sf_dir):
-    return neardup.representatives(_records(spark, sf_dir))
+    return neardup.representatives(_records(spark, sf_dir, "content"))
 
 
 def p7_found(spark, sf_dir):
-    return normalize.field_cases(_records(spark, sf_dir), table(spark, sf_dir, "legal_doc_registry"))
+    return normalize.field_cases(_records(spark, sf_dir, "content", "law_name"), table(spark, sf_dir, "legal_doc_registry"))
 
 
 def p8_containers(spark, sf_dir):
-    return packing.containers(wide(tune(spark), sf_dir, "documents"))
+    return packing.containers(wide(tune(spark), sf_dir, "documents", "doc_id", "text"))
 
 
 def p8_report(spark, sf_dir):
@@ -67,23 +67,23 @@ def p10_found(spark, sf_dir):
 
 
 def p10_restored(spark, sf_dir):
-    return mojibake.restored(wide(tune(spark), sf_dir, "documents"))
+    return mojibake.restored(wide(tune(spark), sf_dir, "documents", "doc_id", "text"))
 
 
 def p10_transformations(spark, sf_dir):
-    return mojibake.transformations(wide(tune(spark), sf_dir, "documents"))
+    return mojibake.transformations(wide(tune(spark), sf_dir, "documents", "doc_id", "text"))
 
 
 def p9_found(spark, sf_dir):
-    return leakage.leaks(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(wide(tune(spark), sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_spans(spark, sf_dir):
-    return leakage.leaked_spans(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.leaked_spans(wide(tune(spark), sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_cleaned(spark, sf_dir):
-    return leakage.without_leaks(wide(tune(spark), sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leakage.without_leaks(wide(tune(spark), sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
 
 QUERIES = (p8_containers, p8_report, p10_found, p10_restored, p10_transformations, p2_found, p2_mapped, p2_unmatched, p9_found, p9_spans, p9_cleaned, p1_found, p1_pieces, p4_found, p4_groups, p4_pairs, p4_members, p7_found)

@@ -45,6 +45,24 @@ def test_scripts():
     assert normalize.respell("сор", whole_script=True) == "cop" and normalize.respell("Бpодуга") == "Бродуга"
 
 
+@pytest.mark.parametrize(("shown", "plain"), [("dօng", "dong"), ("ᎪN", "AN"), ("ⲢHÒNG", "PHÒNG"), ("ꓡUẬT", "LUẬT"), ("ℒuật", "Luật"), ("𝐋uật", "Luật"), ("հợp", "hợp")])
+def test_scripts_of_every_kind(shown, plain):
+    assert normalize.consistent(shown) == plain
+
+
+@pytest.mark.parametrize("text", ["ᏣᎳᎩ", "Հայաստան", "ⲟⲩⲣⲁⲛⲟⲥ", "Ⓛ", "日本 и νόμος", "µ ª º"])
+def test_whole_words_of_other_scripts_stay(text):
+    assert normalize.consistent(text) == text
+
+
+def test_look_alikes_against_public_data(spark):
+    """The table agrees with the confusables data of the ICU library that comes with Spark."""
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    pairs = [(latin, c) for latin, alike in normalize.LOOK_ALIKES.items() for c in alike]
+    agree = [normalize.script(c) != "LATIN" and checker.getSkeleton(latin) == checker.getSkeleton(c) for latin, c in pairs]
+    assert {c for (_, c), ok in zip(pairs, agree, strict=True) if not ok} <= set("Ԛκχ")
+
+
 def test_field_cases(spark):
     registry = spark.createDataFrame([("c1", "Luật A"), ("c2", None), (None, "Ｘ")], "doc_code string, canonical_title string")
     rows = [(1, "ðịnh", "vận"), (2, None, "νận"), (3, "", None), (1, "ðịnh", "vận"), (None, "Ｘ", "Ｘ")]
