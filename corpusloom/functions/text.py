@@ -39,6 +39,16 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1), F.array().cast("array<string>"))
 
 
+def long_tokens(text: Column) -> Column:
+    """``tokens`` of two signs or more."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), F.array().cast("array<string>"))
+
+
+def blank_tokens(text: Column) -> Column:
+    """What stands between blanks, in lower case: for texts that were cut into words before."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"([^ \t\n\r\f\x0b]+)"), 1), F.array().cast("array<string>"))
+
+
 def unaccented(text: Column) -> Column:
     """Lower case without Vietnamese accents, đ = d."""
     return F.translate(F.lower(text), ACCENTED, BASE)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import tokens
+from corpusloom.session import written
+from corpusloom.sources.connectors import folder_exists
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -47,28 +52,74 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75
 QUERY_BLOCK = 2048
 
 
-def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, plus: bool = True, tokenize=tokens) -> DataFrame:
-    """The k best items of each question, ranked; the scores are those of ``bm25``.
+class Bm25Index(NamedTuple):
+    """A kept index: (item_id, terms) per item and (term, df) per term, both written, and the corpus statistics."""
+
+    items: DataFrame
+    frequency: DataFrame
+    n: int
+    avgdl: float
+    tokenize: Callable[[Column], Column]
+
+
+def bm25_index(corpus: DataFrame, tokenize=tokens, path: str | None = None) -> Bm25Index:
+    """Tokenize the corpus (item_id, text) once and count its terms; kept under ``path`` and reused if it is there already.
+
+    Other columns of the corpus are kept for filters. Null and empty texts have no terms, but count as items.
+    """
+    spark = corpus.sparkSession
+    listed = corpus.select(*[c for c in corpus.columns if c != "text"], tokenize(F.col("text")).alias("terms"))
+    count = lambda items: items.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if path is None:
+        items = written(listed, "items")
+        frequency = written(count(items), "frequency")
+    else:
+        if not folder_exists(spark, f"{path}/frequency/_SUCCESS"):
+            listed.write.mode("overwrite").parquet(f"{path}/items")
+            count(spark.read.parquet(f"{path}/items")).write.mode("overwrite").parquet(f"{path}/frequency")
+        items, frequency = spark.read.parquet(f"{path}/items"), spark.read.parquet(f"{path}/frequency")
+    n, avgdl = items.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    return Bm25Index(items, frequency, n, avgdl or 0.0, tokenize)
+
+
+def probable_idf(index: Bm25Index, df: Column) -> Column:
+    """ln(1 + (N - df + .5) / (df + .5)), never negative."""
+    return F.log(1 + (index.n - df + 0.5) / (df + 0.5))
+
+
+def okapi_idf(epsilon: float = 0.25):
+    """ln((N - df + .5) / (df + .5)); terms of more than half the corpus count ``epsilon`` times the mean of all terms."""
+
+    def idf(index: Bm25Index, df: Column) -> Column:
+        plain = lambda c: F.log(index.n - c + 0.5) - F.log(c + 0.5)
+        mean = index.frequency.agg(F.avg(plain(F.col("df")))).first()[0] or 0.0
+        return F.when(plain(df) < 0, F.lit(epsilon * mean)).otherwise(plain(df))
+
+    return idf
+
+
+def bm25_top(queries: DataFrame, index: Bm25Index, k: int, k1: float = 1.5, b: float = 0.75, plus: bool = True, idf=probable_idf, where: Column | None = None) -> DataFrame:
+    """The k best items of each question, ranked; the scores are those of ``bm25``. Only scores above 0 count.
 
     The questions are taken in blocks of bounded size against all items: a block's term weights are one matrix, a
     batch of items is multiplied with it, and only the best of each question leave the batch. So a word that half
-    the corpus holds costs a multiplication, not a row per question and item.
+    the corpus holds costs a multiplication, not a row per question and item. ``where`` filters the items that may be
+    found; frequencies and lengths stay those of the whole corpus.
     """
     import numpy as np
     import pyarrow as pa
-
-    asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("qtf"))
-    listed = corpus.select("item_id", tokenize(F.col("text")).alias("terms"))
-    wanted = asked.select("term").distinct()
-    frequency = listed.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    weights = asked.join(frequency, "term").select("qid", "term", (F.col("qtf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * ((k1 + 1) if plus else 1)).alias("w"))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type, qid_type = corpus.schema["item_id"].dataType, to_arrow_type(queries.schema["qid"].dataType)
+    asked = queries.select("qid", F.explode(index.tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").cast("double").alias("qtf"))
+    weights = asked.join(index.frequency, "term").select("qid", "term", (F.col("qtf") * idf(index, F.col("df")) * ((k1 + 1) if plus else 1)).alias("w"))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if n_blocks > 1:
+        weights = written(weights, "weights")
+    id_type, qid_type = index.items.schema["item_id"].dataType, to_arrow_type(queries.schema["qid"].dataType)
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("item_id", id_type), T.StructField("score", T.DoubleType())])
-    out = None
+    items = (index.items if where is None else index.items.where(where)).where(F.size("terms") > 0).select("item_id", "terms")
+    avgdl, out = index.avgdl, None
     for block in range(n_blocks):
         rows = weights.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == block).collect()
         qids = sorted({r.qid for r in rows})
@@ -76,33 +127,43 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.5, b:
         matrix = np.zeros((len(terms), len(qids)))
         for r in rows:
             matrix[terms[r.term], place[r.qid]] = r.w
-        shared = corpus.sparkSession.sparkContext.broadcast((qids, terms, matrix))
+        shared = queries.sparkSession.sparkContext.broadcast((qids, list(terms), matrix))
 
         def run(batches, shared=shared):
             qids, terms, matrix = shared.value
             if not qids:
                 return
+            known = pa.array(terms)
             for batch in batches:
-                texts = batch.column("terms").to_pylist()
-                for low in range(0, len(texts), 512):
-                    part = np.zeros((len(texts[low : low + 512]), len(terms)))
-                    for i, listed in enumerate(texts[low : low + 512]):
-                        for t in listed or ():
-                            if (at := terms.get(t)) is not None:
-                                part[i, at] += 1
-                        part[i] /= part[i] + k1 * (1 - b + b * len(listed or ()) / (avgdl or 1))
+                for low in range(0, batch.num_rows, 512):
+                    some = batch.slice(low, 512)
+                    listed = some.column("terms")
+                    at = pc.fill_null(pc.index_in(listed.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+                    dl = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+                    item = np.repeat(np.arange(len(dl)), dl)[at >= 0]
+                    part = np.bincount(item * len(terms) + at[at >= 0], minlength=len(dl) * len(terms)).reshape(len(dl), -1).astype(np.float64)
+                    part /= part + (k1 * (1 - b + b * dl / avgdl))[:, None]
                     scores = np.round(part @ matrix, 6)
                     keep = min(k, len(scores))
                     least = np.maximum(np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep], 1e-6)
                     item, q = np.nonzero(scores >= least)
                     if len(q):
-                        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q.tolist()], qid_type), batch.column("item_id").take(pa.array(low + item)), pa.array(scores[item, q])], names=["qid", "item_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([qids[x] for x in q.tolist()], qid_type), some.column("item_id").take(pa.array(item)), pa.array(scores[item, q])], names=["qid", "item_id", "score"])
 
-        found = listed.mapInArrow(run, schema)
+        found = items.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return top_k(out, k)
 
 
+def by_overlap(found: DataFrame, queries: DataFrame, index: Bm25Index) -> DataFrame:
+    """A ranked list with equal scores in the order of the distinct words shared with the question; 1 / rank for scores of 0 or less."""
+    asked = queries.select("qid", F.array_distinct(index.tokenize(F.col("text"))).alias("_asked"))
+    held = index.items.select("item_id", "terms")
+    shared = found.drop("rank").join(asked, "qid").join(held, "item_id").withColumn("overlap", F.size(F.array_intersect("_asked", "terms"))).drop("_asked", "terms")
+    out = ranked(shared, F.desc("overlap"))
+    return out.withColumn("score", F.when(F.col("score") <= 0, 1 / F.col("rank")).otherwise(F.col("score")))
+
+
 def knn(vectors: DataFrame, every: int = 20, k: int = 10) -> DataFrame:
     """Exact cosine neighbours of the stated query set, rows whose id is divisible by ``every``, against all rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as X
 from corpusloom.operators import nested, parsing, references, validity
 from corpusloom.operators.packed import articles_of, references_of
-from corpusloom.plans.general import REFERENCES_SQL, p3_nodes, trees_sql
+from corpusloom.plans.general import REFERENCES_SQL, trees_sql
 from corpusloom.session import tune
 from corpusloom.sources.tables import first_delivery, table
 
@@ -425,7 +425,7 @@ _OWN_WORDS = r"len(regexp_extract_all(coalesce({c}, ''), '[^ \t\n\r\f\x0b]+'))"
 @query(trees_sql(", " + _OWN_WORDS.format(c="content") + " AS own", ", " + _OWN_WORDS.format(c="json_extract_string(kid, '$.content')")) + "SELECT tree_id, node_path, CAST(sum(own) AS BIGINT) n_words FROM (SELECT tree_id, array_to_string(s[1:k], '.') node_path, own FROM (SELECT tree_id, s, own, unnest(range(1, len(s) + 1)) k FROM (SELECT tree_id, string_split(node_path, '.') s, own FROM t))) GROUP BY ALL")
 def subtree_totals(t):
     """Words of a node with everything below it, counted anew through the closure."""
-    nodes = p3_nodes(t("tree_output").sparkSession, None, t("tree_output"))
+    nodes = nested.flat_nodes(t("tree_output"))
     own = nodes.select("tree_id", "node_path", F.regexp_count(F.coalesce("content", F.lit("")), F.lit(r"[^ \t\n\r\f\x0b]+")).alias("own"))
     steps = F.split("node_path", r"\.")
     up = own.select("tree_id", "own", steps.alias("s"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("k"))

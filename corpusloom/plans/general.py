@@ -11,8 +11,8 @@ def p3_found(spark, sf_dir):
     return nested.node_links(wide(tune(spark), sf_dir, "tree_output"))
 
 
-def p3_nodes(spark, sf_dir, trees=None):
-    return nested.flat_nodes(wide(tune(spark), sf_dir, "tree_output") if trees is None else trees)
+def p3_nodes(spark, sf_dir):
+    return nested.flat_nodes(wide(tune(spark), sf_dir, "tree_output"))
 
 
 def p3_broken(spark, sf_dir):
@@ -81,5 +81,9 @@ ORACLE = {
     "p3_found": trees_sql() + "SELECT tree_id, node_path, parent_path FROM t",
     "p5_found": f"SELECT DISTINCT id, period, ref_law_id, ref_article FROM ({_ORPHANS})",
     "p5_counts": f"SELECT 'legal_knowledge_records' src, field, period, count(*) n_refs, count(DISTINCT id) n_records FROM ({_ORPHANS}) GROUP BY ALL",
+    "p3_nodes": trees_sql(
+        ", CAST(0 AS INTEGER) AS pos, id, content, type, number, level, is_edit, num_tokens",
+        ", CAST(i AS INTEGER), " + ", ".join(f"json_extract_string(kid, '$.{c}')" for c in nested.TEXTS) + ", CAST(json_extract(kid, '$.level') AS DOUBLE), CAST(json_extract(kid, '$.is_edit') AS BOOLEAN), CAST(json_extract(kid, '$.num_tokens') AS BIGINT)",
+    ) + "SELECT * EXCLUDE (kids), CAST(len(node_path) - len(replace(node_path, '.', '')) AS INTEGER) depth FROM t",
     "p3_broken": trees_sql(", false AS bad", ", " + _BROKEN) + "SELECT tree_id, node_path FROM t WHERE bad",
 }

@@ -20,11 +20,36 @@ def _documents(spark, d):
 
 
 def bm25_topk(spark, d):
-    return ranking.bm25_top(_questions(spark, d), _documents(spark, d), 10)
+    return ranking.bm25_top(_questions(spark, d), ranking.bm25_index(_documents(spark, d)), 10)
 
 
 def bm25_lucene(spark, d):
-    return ranking.bm25_top(_questions(spark, d), _documents(spark, d), 10, plus=False)
+    """Numerator without k1 + 1, tokens of two letters or more."""
+    return ranking.bm25_top(_questions(spark, d), ranking.bm25_index(_documents(spark, d), X.long_tokens), 10, plus=False)
+
+
+def bm25_okapi(spark, d):
+    """The package form with its floor for frequent terms, at deployed parameters."""
+    return ranking.bm25_top(_questions(spark, d), ranking.bm25_index(_documents(spark, d)), 10, 1.2, 0.65, idf=ranking.okapi_idf(0.25))
+
+
+def bm25_filtered(spark, d):
+    """Words between blanks in lower case, of Vietnamese documents only; frequencies are those of all documents."""
+    docs = wide(spark, d, "documents", "doc_id", "text", "lang").withColumnRenamed("doc_id", "item_id")
+    return ranking.bm25_top(_questions(spark, d), ranking.bm25_index(docs, X.blank_tokens), 10, where=F.col("lang") == "vi")
+
+
+def bm25_overlap(spark, d):
+    """Titles that resemble each other get equal scores, told apart by the words shared with the question."""
+    q = _questions(spark, d)
+    index = ranking.bm25_index(table(spark, d, "legal_doc_registry").select(F.col("doc_code").alias("item_id"), F.col("canonical_title").alias("text")))
+    return ranking.by_overlap(ranking.bm25_top(q, index, 5), q, index)
+
+
+def bm25_sparse(spark, d):
+    """The same scores as a join of postings, relational from end to end."""
+    titles = table(tune(spark), d, "legal_doc_registry").select(F.col("doc_code").alias("item_id"), F.col("canonical_title").alias("text"))
+    return ranking.top_k(ranking.bm25(_questions(spark, d), titles), 5)
 
 
 def _plain_tokens(text):
@@ -34,7 +59,7 @@ def _plain_tokens(text):
 def bm25_family(spark, d):
     """Accent-sensitive and accent-free lists, fused by reciprocal rank."""
     q, c = _questions(spark, d), _documents(spark, d)
-    lists = [ranking.bm25_top(q, c, 100), ranking.bm25_top(q, c, 100, tokenize=_plain_tokens)]
+    lists = [ranking.bm25_top(q, ranking.bm25_index(c, how), 100) for how in (X.tokens, _plain_tokens)]
     return ranking.rrf(lists).where("rank <= 10")
 
 
@@ -195,23 +220,29 @@ def except_lists(spark, d):
 
 
 QUERIES = {k: globals()[k] for k in (
-    "bm25_topk bm25_lucene bm25_family char4_bm25 knn_cosine rank_topk cut_fixed cut_ratio cut_adaptive cut_keep_ratio cut_margin cut_softfloor "
+    "bm25_topk bm25_lucene bm25_okapi bm25_filtered bm25_overlap bm25_sparse bm25_family char4_bm25 knn_cosine rank_topk cut_fixed cut_ratio cut_adaptive cut_keep_ratio cut_margin cut_softfloor "
     "largest_gap doc_quota minmax_norm newest_family never_empty blacklist_keep_one band_pick sibling_expand layer_complement rrf1 rrf0 wrrf "
     "linear_hybrid multi_query_merge running_context three_tiers prf2_macro prf2_by_query mrr_recall coverage param_sweep weighted_vote "
     "hard_negatives intersect_lists except_lists"
 ).split()}
 
+_TOK2 = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+_BLANK = r"regexp_extract_all(lower(text), '[^ \t\n\r\f\x0b]+')"
+_PLAIN = f"regexp_extract_all(translate(lower(text), '{X.ACCENTED}', '{X.BASE}'), '[\\p{{L}}\\p{{N}}_]+')"
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
-def _bm25_sql(tok_q, tok_d, plus, k, questions="SELECT id qid, question AS text FROM eval_items", corpus="SELECT doc_id item_id, text FROM documents", k1=1.5, b=0.75):
+_PROBABLE = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+
+
+def _bm25_sql(tok_q, tok_d, plus, k, questions="SELECT id qid, question AS text FROM eval_items", corpus="SELECT doc_id item_id, text FROM documents", k1=1.5, b=0.75, idf=_PROBABLE, more="", order="score DESC", last="qid, item_id, score, rank", where="TRUE"):
     num = f"{k1 + 1} *" if plus else ""
     return f"""WITH q AS (SELECT qid, term, count(*) qtf FROM (SELECT qid, unnest({tok_q}) term FROM ({questions})) GROUP BY ALL),
 c AS (SELECT item_id, {tok_d} terms FROM ({corpus})), n AS (SELECT count(*) n, avg(len(coalesce(terms, []))) avgdl FROM c),
 p AS (SELECT item_id, dl, term, count(*) tf FROM (SELECT item_id, len(terms) dl, unnest(terms) term FROM c) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, count(*) df FROM p GROUP BY term),
-s AS (SELECT qid, item_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * {num} tf / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) score FROM p JOIN f USING (term) JOIN q USING (term), n GROUP BY qid, item_id)
-SELECT qid, item_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM s) WHERE rank <= {k}"""
+s AS (SELECT qid, item_id, round(sum(qtf * {idf} * {num} tf / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) score FROM p JOIN f USING (term) JOIN q USING (term), n GROUP BY qid, item_id HAVING score > 0){more}
+SELECT {last} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}, item_id) AS INTEGER) rank FROM s WHERE {where}) WHERE rank <= {k}"""
 
 
 _GRAMS = "CASE WHEN length(text) >= 4 THEN list_transform(range(1, CAST(length(text) - 2 AS BIGINT)), lambda i: substr(lower(text), i, 4)) ELSE [] END"
@@ -229,7 +260,12 @@ def _relative_sql(ratio, least, most, absolute, where="TRUE"):
 
 ORACLE = {
     "bm25_topk": _bm25_sql(_TOK, _TOK, True, 10),
-    "bm25_lucene": _bm25_sql(_TOK, _TOK, False, 10),
+    "bm25_lucene": _bm25_sql(_TOK2, _TOK2, False, 10),
+    "bm25_okapi": _bm25_sql(_TOK, _TOK, True, 10, k1=1.2, b=0.65, idf="CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * (SELECT avg(ln(n.n - v.df + 0.5) - ln(v.df + 0.5)) FROM (SELECT term, count(*) df FROM (SELECT DISTINCT item_id, unnest(terms) term FROM c) GROUP BY term) v, n) ELSE ln(n - df + 0.5) - ln(df + 0.5) END"),
+    "bm25_filtered": _bm25_sql(_BLANK, _BLANK, True, 10, where="item_id IN (SELECT doc_id FROM documents WHERE lang = 'vi')"),
+    "bm25_overlap": _bm25_sql(_TOK, _TOK, True, 5, corpus="SELECT doc_code item_id, canonical_title AS text FROM legal_doc_registry", more=", o AS (SELECT qid, item_id, count(DISTINCT term) overlap FROM p JOIN q USING (term) GROUP BY ALL), x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) r0 FROM s) WHERE r0 <= 5)").replace("SELECT qid, item_id, score, rank FROM (SELECT *,", "SELECT qid, item_id, score, overlap, rank FROM (SELECT qid, item_id, score, CAST(overlap AS INTEGER) overlap,").replace("ORDER BY score DESC, item_id) AS INTEGER) rank FROM s WHERE TRUE", "ORDER BY score DESC, overlap DESC, item_id) AS INTEGER) rank FROM x JOIN o USING (qid, item_id)"),
+    "bm25_sparse": _bm25_sql(_TOK, _TOK, True, 5, corpus="SELECT doc_code item_id, canonical_title AS text FROM legal_doc_registry"),
+    "bm25_family": "WITH a AS (" + _bm25_sql(_TOK, _TOK, True, 100) + "), b AS (" + _bm25_sql(_PLAIN, _PLAIN, True, 100) + "), u AS (SELECT qid, item_id, 1.0::DOUBLE / (60 + rank) s FROM a UNION ALL SELECT qid, item_id, 1.0::DOUBLE / (60 + rank) FROM b), v AS (SELECT qid, item_id, round(sum(s), 8) score FROM u GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM v) WHERE rank <= 10",
     "char4_bm25": _bm25_sql(_GRAMS, _GRAMS, True, 5, "SELECT id qid, max(canonical_title) AS text FROM (SELECT id, unnest(gold, recursive := true) FROM eval_items) JOIN legal_doc_registry ON so_ky_hieu = doc_code GROUP BY id", "SELECT doc_code item_id, canonical_title AS text FROM legal_doc_registry", 1.5, 0.4),
     "knn_cosine": "WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM n), s AS (SELECT a.vec_id qid, b.vec_id item_id, round(list_dot_product(a.v, b.v), 6) score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM s) WHERE rank <= 10",
     "rank_topk": _R + _SEL + "r WHERE rank <= 3",

@@ -233,7 +233,7 @@ def test_bm25_top_equals_the_relational_form(spark):
     docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 3)} w{i % 7} gamma") for i in range(60)] + [(99, None), (98, "")], "item_id int, text string")
     asked = spark.createDataFrame([(1, "beta w3 beta"), (2, "nothing"), (3, None)], "qid int, text string")
     full = {(r.qid, r.item_id, r.score) for r in ranking.top_k(ranking.bm25(asked, docs), 7).collect()}
-    assert full == {(r.qid, r.item_id, r.score) for r in ranking.bm25_top(asked, docs, 7).collect()} and full
+    assert full == {(r.qid, r.item_id, r.score) for r in ranking.bm25_top(asked, ranking.bm25_index(docs), 7).collect()} and full
 
 
 def test_metrics(spark):
