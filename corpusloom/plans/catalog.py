@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, general, retrieval, rules
+from corpusloom.plans import corpus, general, language, retrieval, rules
 
 MODULES = (general, retrieval, corpus, rules)
+NAMED = (language,)
 
 
 def queries():
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()} | {k: v for m in NAMED for k, v in m.query.queries.items()}
 
 
 def oracle_sql():
-    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()} | {k: v for m in NAMED for k, v in m.query.oracle.items()}
 
 
 def flagship(spark, sf_dir):

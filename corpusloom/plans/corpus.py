@@ -348,12 +348,6 @@ def date_parse(t):
     return _dated(t).select("id", F.col("eff").cast("string").alias("eff"), F.col("exp").cast("string").alias("exp"))
 
 
-@query("SELECT doc_id, trim(replace(title, '&', 'và')) || chr(10) || lang body FROM documents WHERE title IS NOT NULL AND lang IS NOT NULL AND NOT regexp_matches(title, '[<>\\s]{2,}|[<>&]')")
-def html_text(t):
-    page = F.concat(F.lit("<html><head><script>var a = 1 < 2;</script></head><body><h1>"), F.trim("title"), F.lit("</h1><p>"), F.col("lang"), F.lit("</p></body></html>"))
-    return t("documents").where(F.col("title").isNotNull() & F.col("lang").isNotNull() & ~F.col("title").rlike(r"[<>\s]{2,}|[<>&]")).select("doc_id", X.html_text(page).alias("body"))
-
-
 @query(r"SELECT doc_id, count(*) n, CAST(sum(length(s)) AS BIGINT) n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\x0b]+|\n+', '\1' || chr(1), 'g'), chr(1))), '[ \t\n\r\f\x0b]+', ' ', 'g')) s FROM documents) WHERE s <> '' GROUP BY 1")
 def sentence_split(t):
     """Sentences and their characters, of the documents of every language and of none."""
