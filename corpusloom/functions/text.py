@@ -334,3 +334,27 @@ def segmented(df, column: str, segmenter: Callable[[str], list[str]] | None = No
         return texts.map(lambda x: [] if x is None else list(segmenter(x)))
 
     return df.withColumn("words", words(F.col(column)))
+
+
+def clauses(text: Column, connectives: str, least: int, most: int) -> Column:
+    """The first clauses of at least so many characters between connectives (a pattern)."""
+    parts = F.transform(F.split(text, connectives), lambda x: F.trim(x))
+    return F.slice(F.filter(parts, lambda x: F.length(x) >= least), 1, most)
+
+
+def without_lines(text: Column, equal: list[str], holding: list[str]) -> Column:
+    """Without the lines that, trimmed, equal one of a list, or hold one of some markers, case ignored."""
+
+    def bad(line: Column) -> Column:
+        out = F.trim(line).isin(equal)
+        for marker in holding:
+            out = out | F.lower(line).contains(marker)
+        return out
+
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~bad(x)), "\n")
+
+
+
+def letters_only(text: Column) -> Column:
+    """Lower-case runs of letters and digits with one blank between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

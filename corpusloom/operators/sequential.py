@@ -22,6 +22,19 @@ def gated_numbers(numbers: Column, gap: int = 3, first: int = 2) -> Column:
     return F.aggregate(F.coalesce(numbers, F.array().cast("array<int>")), F.array().cast("array<int>"), step)
 
 
+def gated_headers(labels: Column, gap: int = 3, first: int = 2) -> Column:
+    """Of header labels ('12', '12a') in text order those that go on: by 1 to ``gap``, or the same number with a later letter."""
+    kind = "array<struct<n:int,suffix:string>>"
+    found = F.transform(labels, lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("n"), F.regexp_extract(x, r"(\p{L}?)$", 1).alias("suffix")))
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        goes_on = ((x["n"] == last["n"]) & (x["suffix"] > last["suffix"])) | ((x["n"] > last["n"]) & (x["n"] <= last["n"] + gap))
+        return F.when(F.coalesce(F.when(last.isNull(), x["n"] <= first).otherwise(goes_on), F.lit(False)), F.concat(done, F.array(x))).otherwise(done)
+
+    return F.aggregate(F.coalesce(found, F.array().cast(kind)), F.array().cast(kind), step)
+
+
 def labelled_points(text: Column) -> Column:
     """The labels a), b), c) ... at line starts that come as the next expected one; empty with fewer than two."""
     found = F.regexp_extract_all(text, F.lit(r"(?m)^\s*([a-z])\)"), 1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, general, language, retrieval, rules
+from corpusloom.plans import corpus, filters, general, language, relations, retrieval, rules
 
 MODULES = (general, retrieval, corpus, rules)
-NAMED = (language,)
+NAMED = (language, filters, relations)
 
 
 def queries():

@@ -12,13 +12,6 @@ from corpusloom.session import tune
 from corpusloom.sources.tables import table
 
 
-def numbering_gate(spark, d):
-    """Accepted against found article headers of a document."""
-    found = F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^Điều (\d{1,6})\."), 1), lambda n: n.cast("int"))
-    rows = table(tune(spark), d, "documents").where("text is not null").select("doc_id", found.alias("found"))
-    return rows.where(F.size("found") > 0).select("doc_id", F.size("found").alias("n_found"), F.size(sequential.gated_numbers(F.col("found"))).alias("n_accepted"))
-
-
 def label_points(spark, d):
     rows = table(tune(spark), d, "legal_knowledge_records").select("id", sequential.labelled_points(F.col("content")).alias("labels"))
     return rows.where("labels <> ''").distinct()
@@ -89,11 +82,12 @@ def topic_quota(spark, d):
     return table(tune(spark), d, "documents").select("doc_id", "topic").withColumn("k", F.row_number().over(w)).where("k <= 3").select("doc_id", "topic")
 
 
-QUERIES = {f.__name__: f for f in (numbering_gate, label_points, line_repair, greedy_select, knn_prefetch, metadata_adjust, primary_sub_mean, cascade_ids, stage_recall, answer_rules, topic_quota)}
+QUERIES = {f.__name__: f for f in (label_points, line_repair, greedy_select, knn_prefetch, metadata_adjust, primary_sub_mean, cascade_ids, stage_recall, answer_rules, topic_quota)}
 
 _CLEAN = r"nullif(upper(regexp_replace(d.doc_code, '\s', '', 'g')), '')"
 _FITS = "multi AND evidence >= {least} AND (top - score <= CAST({gap} AS DOUBLE) OR evidence >= 0.62)"
 ORACLE = {
+    "label_points": r"SELECT DISTINCT id, labels FROM (SELECT id, list_reduce(list_prepend('', regexp_extract_all(content, '(?m)^[ \t\n\r\f\x0b]*([a-z])\)', 1)), lambda acc, x: CASE WHEN ascii(x) = 97 + length(acc) THEN acc || x ELSE acc END) labels FROM legal_knowledge_records) WHERE length(labels) >= 2",
     "line_repair": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\n')) - len(regexp_extract_all(regexp_replace(text, '([\p{L},])[ \t]*\n[ \t]*(\p{Ll}{2})', '\1 \2', 'g'), '\n')) AS INTEGER) n_joined FROM documents WHERE n_joined > 0",
     "greedy_select": _R + ", c AS (SELECT *, item_id % 101 / 100 evidence, qid % 2 = 0 multi, max(score) OVER (PARTITION BY qid) top, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS INTEGER) k FROM r WHERE rank <= 8), a AS (SELECT qid, grp g1 FROM c WHERE k = 1), "
     "b AS (SELECT qid, min(k) k2, arg_min(grp, k) g2 FROM c WHERE k > 1 AND " + _FITS.format(least="0.34", gap="0.11") + " GROUP BY qid), "
