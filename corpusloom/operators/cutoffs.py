@@ -70,3 +70,12 @@ def siblings(df: DataFrame, kept: DataFrame, group: str, within: float, most: in
     unseen = best.join(kept.select("qid", "item_id"), ["qid", "item_id"], "left_anti").join(kept.select("qid", group).distinct(), ["qid", group], "left_semi")
     w = Window.partitionBy("qid", group).orderBy("rank")
     return unseen.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def scoped(df: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
+    """Rows of the first scope (name, flag column) that has any in its list, else all; ``scope`` names it."""
+    name, keep = F.lit("all"), F.lit(True)
+    for label, flag in reversed(scopes):
+        any_ = F.max(F.col(flag).cast("int")).over(_by_query()) == 1
+        name, keep = F.when(any_, label).otherwise(name), F.when(any_, F.col(flag)).otherwise(keep)
+    return df.withColumn("scope", name).withColumn("_keep", keep).where("_keep").drop("_keep")

@@ -255,3 +255,28 @@ def best_of(lists: list[DataFrame]) -> DataFrame:
     for x in lists[1:]:
         union = union.unionByName(x.select("qid", "item_id", "score"))
     return ranked(union.groupBy("qid", "item_id").agg(F.max("score").alias("score")))
+
+
+def rrf_lists(rows: DataFrame, lists: str, per_list: int, most: int, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of any number of lists, named by a column; a question with one list keeps its scores."""
+    place = F.row_number().over(Window.partitionBy("qid", lists).orderBy(F.desc("score"), "item_id"))
+    n = F.size(F.collect_set(lists).over(Window.partitionBy("qid")))
+    parts = rows.withColumn("_k", place).withColumn("_n", n).where(F.col("_k") <= per_list)
+    each = F.when(F.col("_n") == 1, F.col("score")).otherwise(1.0 / (k + F.col("_k")))
+    return top_k(parts.groupBy("qid", "item_id").agg(F.round(F.sum(each), 8).alias("score")), most)
+
+
+def swept(rows: DataFrame, alphas: list[float], thresholds: list[float]) -> DataFrame:
+    """(mode_, alpha, thr, f2, place): scores a and b combined as weighted sum and product, kept from a threshold on.
+
+    ``g`` marks gold rows. F2 is that of all kept rows; settings without a hit are left out.
+    """
+    grid = [(m, a, x) for m in ("weighted", "product") for a in alphas for x in thresholds]
+    settings = F.array(*[F.struct(F.lit(m).alias("mode_"), F.lit(a).alias("alpha"), F.lit(x).alias("thr")) for m, a, x in grid])
+    total = rows.agg(F.count_if("g").alias("total"))
+    each = rows.withColumn("c", F.explode(settings)).select("a", "b", "g", "c.*")
+    score = F.when(F.col("mode_") == "weighted", F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b")).otherwise(F.col("a") * F.col("b"))
+    kept = each.where(F.round(score, 9) >= F.col("thr")).groupBy("mode_", "alpha", "thr").agg(F.count("*").alias("n"), F.count_if("g").alias("hit")).where("hit > 0")
+    p, r = F.col("hit") / F.col("n"), F.col("hit") / F.col("total")
+    scored = kept.crossJoin(F.broadcast(total)).select("mode_", "alpha", "thr", F.round(5 * p * r / (4 * p + r), 6).alias("f2"))
+    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f2"), "mode_", "alpha", "thr")))  # one row per setting

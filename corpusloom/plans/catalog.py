@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, filters, general, language, relations, retrieval, rules
+from corpusloom.plans import corpus, filters, general, language, relations, retrieval, rules, selects
 
 MODULES = (general, retrieval, corpus, rules)
-NAMED = (language, filters, relations)
+NAMED = (language, filters, relations, selects)
 
 
 def queries():

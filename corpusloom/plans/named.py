@@ -6,6 +6,16 @@ from corpusloom.session import tune
 from corpusloom.sources.tables import table
 
 
+class Tables:
+    """Scans by name; the session and folder for what builds on other queries."""
+
+    def __init__(self, spark, folder: str) -> None:
+        self.spark, self.folder = tune(spark), folder
+
+    def __call__(self, name: str):
+        return table(self.spark, self.folder, name)
+
+
 class Named:
     """Queries and their SQL by name; a query gets a function from table name to scan."""
 
@@ -16,7 +26,7 @@ class Named:
     def __call__(self, sql: str | None = None):
         def add(f):
             def run(spark, d):
-                return f(lambda name: table(tune(spark), d, name))
+                return f(Tables(spark, d))
 
             run.__doc__ = f.__doc__
             self.queries[f.__name__] = run
