@@ -358,3 +358,9 @@ def without_lines(text: Column, equal: list[str], holding: list[str]) -> Column:
 def letters_only(text: Column) -> Column:
     """Lower-case runs of letters and digits with one blank between them."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def groups_in(text: Column, groups: list[tuple[str, str]]) -> Column:
+    """The names of the (name, phrase) groups of which the text holds the phrase, case ignored."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.contains(phrase), name) for name, phrase in groups]))

@@ -33,3 +33,40 @@ def first_hit(pred: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     sizes = gold.groupBy("qid").agg(F.count_distinct("key").alias("n"))
     joined = sizes.join(hits, "qid", "left")
     return joined.agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce(F.col("hit") / F.col("n"), F.lit(0.0))), 6).alias("recall_at_k"))
+
+
+def strict(pred: DataFrame, gold: DataFrame, questions: DataFrame) -> DataFrame:
+    """(p, r, zero_pct): means in which empty sets score 0, and the percentage of questions without a hit."""
+    p, g = pred.select("qid", "key").distinct().withColumn("p", F.lit(1)), gold.select("qid", "key").distinct().withColumn("g", F.lit(1))
+    counts = p.join(g, ["qid", "key"], "full").groupBy("qid").agg(F.count("p").alias("np"), F.count("g").alias("ng"), F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("hit"))
+    rows = questions.select("qid").distinct().join(counts, "qid", "left").na.fill(0, ["np", "ng", "hit"])
+    share = lambda n: F.when((F.col("np") == 0) | (F.col("ng") == 0), 0.0).otherwise(F.col("hit") / F.col(n))
+    return rows.agg(F.round(F.avg(share("np")), 6).alias("p"), F.round(F.avg(share("ng")), 6).alias("r"), F.round(100 * F.avg((F.col("hit") == 0).cast("int")), 6).alias("zero_pct"))
+
+
+def stages(pred: DataFrame, gold: DataFrame, cuts: list[tuple[str, int]], loss: float) -> DataFrame:
+    """(stage, p, r, f2, n, n_lost): means per question after each cut of a ranked list; F2 of the means.
+
+    Questions without gold have no recall and are left out of its mean; ``n`` counts the others. ``n_lost`` counts those
+    that lose more than ``loss`` of their recall between the first two stages.
+    """
+    gold = gold.select("qid", "key").distinct()
+    marked = pred.join(gold.withColumn("_g", F.lit(1)), ["qid", "key"], "left")
+    kept = marked.withColumn("c", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(k).alias("k")) for s, k in cuts]))).where(F.col("rank") <= F.col("c.k"))
+    per = kept.groupBy("qid", F.col("c.stage").alias("stage")).agg((F.count("_g") / F.count("*")).alias("p"), F.count("_g").alias("hit"))
+    per = per.join(gold.groupBy("qid").agg(F.count("*").alias("total")), "qid", "left").withColumn("r", F.col("hit") / F.col("total"))
+    a, b = (F.max(F.when(F.col("stage") == s, F.col("r"))) for s, _ in cuts[:2])
+    lost = per.groupBy("qid").agg((a - b).alias("d")).agg(F.count_if(F.col("d") > loss).alias("n_lost"))
+    p, r = F.avg("p"), F.avg("r")
+    means = per.groupBy("stage").agg(F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(5 * p * r / (4 * p + r), 6).alias("f2"), F.count("r").alias("n"))
+    return means.crossJoin(F.broadcast(lost))  # one row
+
+
+def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, mean, p50, p95): the median, and the value at place floor(0.95 n) in order from groups of five on."""
+    from pyspark.sql.window import Window
+
+    placed = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(value))).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    at = F.max(F.when((F.col("_n") >= 5) & (F.col("_k") == F.floor(0.95 * F.col("_n")) + 1), F.col(value)))
+    out = placed.groupBy(group).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.median(value), 6).alias("p50"), F.round(at, 6).alias("p95"))
+    return rows.groupBy(group).agg(F.count("*").alias("n")).join(out, group, "left")

@@ -355,11 +355,6 @@ def sentence_split(t):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
-@query()
-def pack_chunks(t):
-    return parsing.packed_chunks(t("documents"), "doc_id")
-
-
 @query(r"""WITH b AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(^|\n)(Điều[ \t\n\r\f\x0b]+\d)', '\1' || chr(1) || '\2', 'g'), chr(1))) body, generate_subscripts(string_split_regex(regexp_replace(text, '(^|\n)(Điều[ \t\n\r\f\x0b]+\d)', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) k FROM documents),
 c AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) pos, body FROM b WHERE NOT (k = 1 AND body = '')) SELECT doc_id, pos, coalesce(nullif(regexp_extract(body, '^Điều[ \t\n\r\f\x0b]+(\d+)', 1), ''), '0') number, trim(body) body FROM c WHERE length(trim(body)) >= 20""")
 def article_split(t):

@@ -146,13 +146,6 @@ def running_context(spark, d):
     return _orders(spark, d).withColumn("used", F.round(F.sum("score").over(w), 6)).where("used <= 1.2").select(*_OUT, "used")
 
 
-def three_tiers(spark, d):
-    """Citations of the best tier that has any: status F, else O, else the top three."""
-    tier = F.when(F.col("status") == "F", 1).when(F.col("status") == "O", 2).when(F.col("rank") <= 3, 3)
-    r = _orders(spark, d).withColumn("tier", tier).where("tier is not null")
-    return r.withColumn("_t", F.min("tier").over(Window.partitionBy("qid"))).where("tier = _t").select(*_OUT, "tier")
-
-
 def _judged(spark, d):
     r = _orders(spark, d)
     return r.where("rank <= 5").select("qid", F.col("item_id").alias("key"), "rank"), r.where("grp in ('1-URGENT', '2-HIGH')").select("qid", F.col("item_id").alias("key"))
@@ -222,7 +215,7 @@ def except_lists(spark, d):
 QUERIES = {k: globals()[k] for k in (
     "bm25_topk bm25_lucene bm25_okapi bm25_filtered bm25_overlap bm25_sparse bm25_family char4_bm25 knn_cosine rank_topk cut_fixed cut_ratio cut_adaptive cut_keep_ratio cut_margin cut_softfloor "
     "largest_gap doc_quota minmax_norm newest_family never_empty blacklist_keep_one band_pick sibling_expand layer_complement rrf1 rrf0 wrrf "
-    "linear_hybrid multi_query_merge running_context three_tiers prf2_macro prf2_by_query mrr_recall coverage param_sweep weighted_vote "
+    "linear_hybrid multi_query_merge running_context prf2_macro prf2_by_query mrr_recall coverage param_sweep weighted_vote "
     "hard_negatives intersect_lists except_lists"
 ).split()}
 
@@ -290,7 +283,6 @@ ORACLE = {
     "linear_hybrid": _R + ", a AS (SELECT qid, item_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END x FROM r WHERE rank <= 10 WINDOW w AS (PARTITION BY qid)), b AS (SELECT qid, item_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END y FROM t WHERE rank <= 10 WINDOW w AS (PARTITION BY qid)), f AS (SELECT qid, item_id, round(CAST(0.6 AS DOUBLE) * coalesce(x, 0) + CAST(0.4 AS DOUBLE) * coalesce(y, 0), 6) score FROM a FULL JOIN b USING (qid, item_id)) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM f",
     "multi_query_merge": _R + ", u AS (SELECT qid, item_id, score FROM r WHERE rank <= 5 UNION ALL SELECT qid, item_id, score * 2 FROM r WHERE status = 'O' UNION ALL SELECT qid, item_id, score FROM r WHERE \"year\" >= 1997), m AS (SELECT qid, item_id, max(score) score FROM u GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM m",
     "running_context": _R + "SELECT qid, item_id, score, rank, used FROM (SELECT *, round(sum(score) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) used FROM r) WHERE used <= 1.2",
-    "three_tiers": _R + "SELECT qid, item_id, score, rank, tier FROM (SELECT *, min(tier) OVER (PARTITION BY qid) mt FROM (SELECT *, CASE WHEN status = 'F' THEN 1 WHEN status = 'O' THEN 2 WHEN rank <= 3 THEN 3 END tier FROM r) WHERE tier IS NOT NULL) WHERE tier = mt",
     "prf2_macro": _JUDGED + "SELECT round(avg(p), 6) p, round(avg(r), 6) r, round(avg(f2), 6) f2, round(5 * avg(p) * avg(r) / (4 * avg(p) + avg(r)), 6) f2_of_means, count(*) n FROM e",
     "prf2_by_query": _JUDGED + "SELECT qid, round(p, 6) p, round(r, 6) r, round(f2, 6) f2 FROM e",
     "mrr_recall": _R + ", g AS (SELECT qid, item_id, rank FROM r WHERE grp IN ('1-URGENT', '2-HIGH')), s AS (SELECT qid, count(*) n, min(rank) FILTER (rank <= 5) f, count(*) FILTER (rank <= 5) hit FROM g GROUP BY qid) SELECT round(avg(coalesce(1 / f, 0)), 6) mrr, round(avg(hit / n), 6) recall_at_k FROM s",
