@@ -34,7 +34,10 @@ def gated_split(t):
     return t("documents").where("text is not null").select("doc_id", F.posexplode(found).alias("pos", "b")).select("doc_id", "pos", F.col("b.body").alias("body"))
 
 
-@query(r"WITH m AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(text, '((?:tại|theo|của|khoản \d)[ \t\n]{0,3})Điều ', '\1' || chr(2) || 'iều ', 'g'), '(Điều \d{1,6}\. ?[\p{L}\p{N}""''(«“‘])', chr(1) || '\1', 'g'), chr(1)) l FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)) SELECT doc_id, regexp_extract(b, '^Điều (\d{1,6})\.', 1) label, replace(b, chr(2), 'Đ') body FROM (SELECT doc_id, unnest(l) b FROM m) WHERE regexp_matches(b, '^Điều \d{1,6}\.') AND length(trim(b)) >= 20".replace('""', '"'))
+@query(
+    r"""WITH m AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(text, '((?:tại|theo|của|khoản \d)[ \t\n]{0,3})Điều ', '\1' || chr(2) || 'iều ', 'g'), '(Điều \d{1,6}\. ?[\p{L}\p{N}"''(«“‘])', chr(1) || '\1', 'g'), chr(1)) l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_extract(b, '^Điều (\d{1,6})\.', 1) label, replace(b, chr(2), 'Đ') body FROM (SELECT doc_id, unnest(l) b FROM m) WHERE regexp_matches(b, '^Điều \d{1,6}\.') AND length(trim(b)) >= 20"""
+)
 def guarded_split(t):
     """Articles anywhere in a line, headers that are references ('theo Điều 5.') left alone."""
     found = structure.guarded_articles(F.col("text"), ["tại", "theo", "của", r"khoản \d"])
