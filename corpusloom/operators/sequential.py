@@ -97,3 +97,72 @@ def knn_two_stage(vectors: DataFrame, every: int = 20, k: int = 10, prefetch: in
     asked = unit.where(F.col("item_id") % every == 0).withColumnsRenamed({"item_id": "qid", "vector": "qv", "norm": "qn"})
     scored = near.join(asked, "qid").join(unit, "item_id").select("qid", "item_id", F.round(dot(F.col("qv"), F.col("vector")) / F.greatest(F.col("qn") * F.col("norm"), F.lit(1e-30)), 6).alias("score"))
     return top_k(scored, k)
+
+
+#: Rows the lists are fitted on, by hash order; every row is indexed.
+FIT_ROWS = 20_000
+
+
+def knn_lists(vectors: DataFrame, every: int = 20, k: int = 10, lists: int = 16, probes: int = 12, rounds: int = 8) -> DataFrame:
+    """Approximate cosine neighbours: every row belongs to the list of its nearest centre, a query only meets ``probes`` lists.
+
+    The centres are fitted on ``FIT_ROWS`` rows. The rows are scanned once per block of queries and never shuffled; of a
+    batch only the rows of a query's lists are scored. The defaults find more than nine in ten exact neighbours even where
+    vectors fall into no groups; where they do, fewer probes are enough.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.operators.ranking import top_k
+
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    there = vectors.where("item_id is not null and vector is not null")
+    sample = there.orderBy(F.xxhash64("item_id"), "item_id").limit(FIT_ROWS).select("vector").collect()
+    schema = "qid bigint, item_id bigint, score double"
+    if not sample:
+        return top_k(vectors.sparkSession.createDataFrame([], schema), k)
+    data = unit(np.array([r.vector for r in sample], dtype=np.float64))
+    centres = data[np.linspace(0, len(data) - 1, min(lists, len(data))).astype(int)]
+    for _ in range(rounds):
+        of = np.argmax(data @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, data)
+        filled = np.linalg.norm(sums, axis=1) > 0
+        centres = np.where(filled[:, None], unit(sums), centres)
+    asked, out = there.where(F.col("item_id") % every == 0).select("item_id", "vector"), None
+    n_blocks = max(1, -(-asked.count() // 4096))
+    for block in range(n_blocks):
+        rows = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
+        if not rows:
+            continue
+        ids, matrix = np.array([r.item_id for r in rows]), unit(np.array([r.vector for r in rows], dtype=np.float64))
+        near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes]
+        meets = np.zeros((len(rows), len(centres)), bool)
+        np.put_along_axis(meets, near, True, axis=1)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, centres, meets))
+
+        def run(batches, shared=shared):
+            ids, matrix, centres, meets = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                items = batch.column("item_id").to_numpy()
+                rows = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(items), -1))
+                of = np.argmax(rows @ centres.T, axis=1)
+                for one in np.unique(of):
+                    q, r = np.flatnonzero(meets[:, one]), np.flatnonzero(of == one)
+                    if not len(q):
+                        continue
+                    r = r[np.argsort(items[r])]
+                    scores = np.rint(matrix[q] @ rows[r].T * 1e6)
+                    scores[ids[q][:, None] == items[r][None, :]] = -2e6
+                    keys = np.arange(len(r)) - scores * len(r)  # equal scores in the order of their ids
+                    keep = min(k, len(r))
+                    best = np.argpartition(keys, keep - 1, axis=1)[:, :keep]
+                    s = np.take_along_axis(scores, best, 1).ravel() / 1e6 + 0.0
+                    ok = s > -1.5
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q], keep)[ok]), pa.array(items[r][best.ravel()][ok]), pa.array(s[ok])], names=["qid", "item_id", "score"])
+
+        part = there.select("item_id", "vector").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return top_k(vectors.sparkSession.createDataFrame([], schema) if out is None else out, k)

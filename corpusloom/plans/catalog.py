@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import answers, corpus, filters, general, language, parts, relations, retrieval, rules, selects
+from corpusloom.plans import answers, corpus, filters, general, inout, language, parts, relations, retrieval, rules, selects
 
 MODULES = (general, retrieval, corpus, rules)
-NAMED = (language, filters, relations, selects, answers, parts)
+NAMED = (language, filters, relations, selects, answers, parts, inout)
 
 
 def queries():

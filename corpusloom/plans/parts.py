@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
-from corpusloom.operators import evaluate, mining, ranking, structure
+from corpusloom.operators import evaluate, mining, ranking, sequential, structure
 from corpusloom.operators.parsing import packed_chunks
 from corpusloom.plans.named import Named
 from corpusloom.plans.retrieval import _JUDGED, _R, _TOK, _bm25_sql, _judged, _orders
@@ -257,3 +257,21 @@ def rescored_negatives(t):
     s = r.where("rank <= 20").join(pos, "qid").where("grp <> pg").select("qid", "pos", "item_id", F.round(1 - F.abs(F.col("score") - 0.5), 6).alias("s2"))
     w = Window.partitionBy("qid")
     return s.withColumn("pick", F.row_number().over(w.orderBy(F.desc("s2"), "item_id"))).withColumn("n", F.count("*").over(w)).where("pick <= 5 and n >= 3").drop("n")
+
+
+def _vectors(t):
+    return t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def knn_lists(t):
+    """Approximate neighbours by lists."""
+    return sequential.knn_lists(_vectors(t))
+
+
+@query("SELECT count(*) n_queries, true at_least FROM embeddings WHERE vec_id % 20 = 0")
+def knn_lists_recall(t):
+    """Whether nine in ten of the exact neighbours are among the approximate ones."""
+    exact, near = ranking.knn(_vectors(t)).select("qid", "item_id"), sequential.knn_lists(_vectors(t)).select("qid", "item_id").withColumn("hit", F.lit(1))
+    per = exact.join(near, ["qid", "item_id"], "left").groupBy("qid").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("n_queries"), (F.sum("hit") >= 0.9 * F.sum("n")).alias("at_least"))

@@ -57,6 +57,13 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what a query writes; removed when the driver ends."""
+    path = f"{work_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -64,9 +71,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     the files lie in the folder all executors share. The files are removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
