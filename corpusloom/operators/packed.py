@@ -103,7 +103,7 @@ def packed_values(field: Column, rules: list[tuple[str, str]]) -> Column:
     text = (
         F.when(simple, _ruled(field, rules))
         .when(container, F.array_join(F.transform(pieces, in_container), ""))
-        .otherwise(F.array_join(F.transform(pieces, in_text(pieces)), ""))
+        .otherwise(F.get(F.transform(F.array(pieces), lambda ps: F.array_join(F.transform(ps, in_text(ps)), "")), F.lit(0)))  # bound once
     )
     values = F.transform(F.split(text, SEP), lambda v: trimmed(_given_back(F.translate(v, ESCAPED_QUOTE + ESCAPED_SLASH, '"\\'))))
     return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
