@@ -275,5 +275,5 @@ def packing_report(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count_distinct("container").alias("n_containers"),
         F.ceil(total / capacity).alias("least_possible"),
         total.alias("n_tokens"),
-        (1 - total / (F.count_distinct("container") * capacity)).alias("room_left"),
+        (1 - F.try_divide(total, F.count_distinct("container") * capacity)).alias("room_left"),
     )
