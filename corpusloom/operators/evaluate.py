@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def f2_of(p: Column, r: Column) -> Column:
+    """5PR / (4P + R); 0 where both are 0."""
+    return F.coalesce(F.try_divide(5 * p * r, 4 * p + r), F.when(p.isNotNull() & r.isNotNull(), 0.0))
+
+
 def per_query(pred: DataFrame, gold: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """(qid, p, r, f2): F2 = 5PR / (4P + R); both empty count as 1, an empty gold set has recall 1.
 
@@ -18,13 +23,13 @@ def per_query(pred: DataFrame, gold: DataFrame, questions: DataFrame | None = No
     pr = F.when(F.col("np") == 0, F.when(F.col("ng") == 0, 1.0).otherwise(0.0)).otherwise(F.col("hit") / F.col("np"))
     re = F.when(F.col("ng") == 0, 1.0).otherwise(F.col("hit") / F.col("ng"))
     scored = counts.select("qid", pr.alias("p"), re.alias("r"))
-    return scored.withColumn("f2", F.when(4 * F.col("p") + F.col("r") == 0, 0.0).otherwise(5 * F.col("p") * F.col("r") / (4 * F.col("p") + F.col("r"))))
+    return scored.withColumn("f2", f2_of(F.col("p"), F.col("r")))
 
 
 def macro(scores: DataFrame) -> DataFrame:
     """Means over the questions: precision, recall, F2, and F2 of the mean precision and recall."""
     p, r = F.avg("p"), F.avg("r")
-    return scores.agg(F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(F.avg("f2"), 6).alias("f2"), F.round(5 * p * r / (4 * p + r), 6).alias("f2_of_means"), F.count("*").alias("n"))
+    return scores.agg(F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(F.avg("f2"), 6).alias("f2"), F.round(f2_of(p, r), 6).alias("f2_of_means"), F.count("*").alias("n"))
 
 
 def first_hit(pred: DataFrame, gold: DataFrame, k: int) -> DataFrame:
@@ -58,7 +63,7 @@ def stages(pred: DataFrame, gold: DataFrame, cuts: list[tuple[str, int]], loss:
     a, b = (F.max(F.when(F.col("stage") == s, F.col("r"))) for s, _ in cuts[:2])
     lost = per.groupBy("qid").agg((a - b).alias("d")).agg(F.count_if(F.col("d") > loss).alias("n_lost"))
     p, r = F.avg("p"), F.avg("r")
-    means = per.groupBy("stage").agg(F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(5 * p * r / (4 * p + r), 6).alias("f2"), F.count("r").alias("n"))
+    means = per.groupBy("stage").agg(F.round(p, 6).alias("p"), F.round(r, 6).alias("r"), F.round(f2_of(p, r), 6).alias("f2"), F.count("r").alias("n"))
     return means.crossJoin(F.broadcast(lost))  # one row
 
 

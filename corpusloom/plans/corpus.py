@@ -362,7 +362,7 @@ def article_split(t):
 
 
 @query(r"WITH w AS (SELECT DISTINCT doc_code, unnest(regexp_extract_all(lower(canonical_title), '[\p{L}\p{N}_]+')) w FROM legal_doc_registry), n AS (SELECT doc_code, count(*) n FROM w GROUP BY 1), p AS (SELECT a.doc_code a, b.doc_code b, count(*) k FROM w a JOIN w b ON a.w = b.w AND a.doc_code < b.doc_code GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 6) sim FROM p JOIN n x ON x.doc_code = a JOIN n y ON y.doc_code = b WHERE k / (x.n + y.n - k) >= 0.8")
-def jaccard_titles(t):
+def jaccard_pairs(t):
     """Pairs of registry titles (a fixed list) of word Jaccard 0.8 or more: joined on their rarest words only.
 
     A pair at 0.8 shares a word among the first n - ceil(0.8 n) + 1 of each title in order of frequency.

@@ -179,7 +179,7 @@ def ten_checks(t):
 def parse_quality(t):
     """Junk codes, huge and tiny texts, long, empty and repeated titles."""
     n, junk = F.count("*"), ~F.coalesce(F.col("doc_code").rlike(r"^\d{1,4}/\d{4}/\p{Lu}+(-\p{Lu}+)?$"), F.lit(False))
-    share = lambda c: F.round(100 * F.count_if(c) / n, 4)
+    share = lambda c: F.round(F.try_divide(100 * F.count_if(c), n), 4)
     return t("documents").agg(n.alias("n"), F.count_if(junk).alias("junk_code"), share(F.length("text") > 50000).alias("huge_pct"), share(F.length("text") < 30).alias("tiny_pct"), F.count_if(F.length("title") > 200).alias("long_title"), F.count_if(F.coalesce(F.trim("title"), F.lit("")) == "").alias("no_title"), F.count_if(F.contains("text", "title")).alias("repeated_title"))
 
 
@@ -197,7 +197,7 @@ def stale_slots(t):
     """Of the first three places those a newer version of the family should have, and how much older they are."""
     m = _orders(t.spark, t.folder).withColumn("age", F.max("year").over(Window.partitionBy("qid", "grp")) - F.col("year")).where("rank <= 3")
     n = F.count("*")
-    return m.agg(n.alias("slots"), F.count_if(F.col("age") > 0).alias("stale"), F.round(F.count_if(F.col("age") > 0) / n, 6).alias("stale_share"), F.count_if(F.col("age").between(1, 2)).alias("young"), F.count_if(F.col("age") > 2).alias("old"))
+    return m.agg(n.alias("slots"), F.count_if(F.col("age") > 0).alias("stale"), F.round(F.try_divide(F.count_if(F.col("age") > 0), n), 6).alias("stale_share"), F.count_if(F.col("age").between(1, 2)).alias("young"), F.count_if(F.col("age") > 2).alias("old"))
 
 
 @query("SELECT event_type, count(*) n, round(avg(value), 4) mean, round(median(value), 6) p50, round(CASE WHEN count(*) >= 5 THEN list(value ORDER BY value)[1 + CAST(floor(0.95 * count(*)) AS INTEGER)] END, 6) p95 FROM events GROUP BY 1")

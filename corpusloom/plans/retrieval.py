@@ -155,6 +155,11 @@ def prf2_macro(spark, d):
     return evaluate.macro(evaluate.per_query(*_judged(spark, d), _customers(spark, d)))
 
 
+def prf2_of_means(spark, d):
+    """F2 of the mean precision and the mean recall, which is not the mean of F2."""
+    return prf2_macro(spark, d).select("p", "r", F.col("f2_of_means").alias("f2"), "n")
+
+
 def _customers(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("qid"))
 
@@ -215,7 +220,7 @@ def except_lists(spark, d):
 QUERIES = {k: globals()[k] for k in (
     "bm25_topk bm25_lucene bm25_okapi bm25_filtered bm25_overlap bm25_sparse bm25_family char4_bm25 knn_cosine rank_topk cut_fixed cut_ratio cut_adaptive cut_keep_ratio cut_margin cut_softfloor "
     "largest_gap doc_quota minmax_norm newest_family never_empty blacklist_keep_one band_pick sibling_expand layer_complement rrf1 rrf0 wrrf "
-    "linear_hybrid multi_query_merge running_context prf2_macro prf2_by_query mrr_recall coverage param_sweep weighted_vote "
+    "linear_hybrid multi_query_merge running_context prf2_macro prf2_of_means prf2_by_query mrr_recall coverage param_sweep weighted_vote "
     "hard_negatives intersect_lists except_lists"
 ).split()}
 
@@ -284,6 +289,7 @@ ORACLE = {
     "multi_query_merge": _R + ", u AS (SELECT qid, item_id, score FROM r WHERE rank <= 5 UNION ALL SELECT qid, item_id, score * 2 FROM r WHERE status = 'O' UNION ALL SELECT qid, item_id, score FROM r WHERE \"year\" >= 1997), m AS (SELECT qid, item_id, max(score) score FROM u GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, item_id) AS INTEGER) rank FROM m",
     "running_context": _R + "SELECT qid, item_id, score, rank, used FROM (SELECT *, round(sum(score) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) used FROM r) WHERE used <= 1.2",
     "prf2_macro": _JUDGED + "SELECT round(avg(p), 6) p, round(avg(r), 6) r, round(avg(f2), 6) f2, round(5 * avg(p) * avg(r) / (4 * avg(p) + avg(r)), 6) f2_of_means, count(*) n FROM e",
+    "prf2_of_means": _JUDGED + "SELECT round(avg(p), 6) p, round(avg(r), 6) r, round(5 * avg(p) * avg(r) / (4 * avg(p) + avg(r)), 6) f2, count(*) n FROM e",
     "prf2_by_query": _JUDGED + "SELECT qid, round(p, 6) p, round(r, 6) r, round(f2, 6) f2 FROM e",
     "mrr_recall": _R + ", g AS (SELECT qid, item_id, rank FROM r WHERE grp IN ('1-URGENT', '2-HIGH')), s AS (SELECT qid, count(*) n, min(rank) FILTER (rank <= 5) f, count(*) FILTER (rank <= 5) hit FROM g GROUP BY qid) SELECT round(avg(coalesce(1 / f, 0)), 6) mrr, round(avg(hit / n), 6) recall_at_k FROM s",
     "coverage": r"WITH g AS (SELECT DISTINCT id, upper(regexp_replace(so_ky_hieu, '\s', '', 'g')) code FROM (SELECT id, unnest(gold, recursive := true) FROM eval_items)), h AS (SELECT DISTINCT upper(regexp_replace(doc_code, '\s', '', 'g')) code FROM documents WHERE doc_code IS NOT NULL), p AS (SELECT id, count(*) n, count(h.code) hit FROM g LEFT JOIN h USING (code) GROUP BY id) SELECT count(*) n_items, count(*) FILTER (hit > 0) cover_any, count(*) FILTER (hit = n) cover_all, round(sum(hit) / sum(n), 6) gold_share FROM p",
