@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from corpusloom.session import written
 
 CAPACITY = 4096
-SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 40, 8
+SHARD_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2000, 2, 2, 80, 8
+#: Share of the children that have two parents.
+CROSSED = 0.5
 #: Bins filled less than this are packed again across shards.
 WELL_FILLED = 0.98
 #: The last round of packing again is one that saves less than this share of the containers it packs.
@@ -91,6 +93,31 @@ def best_fit(bins: Packing, loose: list[int], sizes: list[int], capacity: int) -
     return bins
 
 
+def tight_fit(sizes: list[int], capacity: int) -> Packing:
+    """One bin after another: the largest item left, then the one or two items that leave the least room, until none fits."""
+    left = sorted(range(len(sizes)), key=lambda i: (sizes[i], -i))
+    listed, bins = [sizes[i] for i in left], []
+    while left:
+        b, room = [left.pop()], capacity - listed.pop()
+        while room > 0 and (at := bisect_right(listed, room) - 1) >= 0:
+            best, take = listed[at], (at,)
+            low, high = 0, at
+            while low < high and best < room:
+                both = listed[low] + listed[high]
+                if both > room:
+                    high -= 1
+                    continue
+                if both > best:
+                    best, take = both, (low, high)
+                low += 1
+            for n in reversed(take):
+                b.append(left.pop(n))
+                del listed[n]
+            room -= best
+        bins.append(b)
+    return bins
+
+
 def fitness(bins: Packing, sizes: list[int], capacity: int) -> float:
     """Mean squared fill: few, well-filled bins."""
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
@@ -168,23 +195,25 @@ def crossover(mother: Packing, father: Packing, sizes: list[int], capacity: int,
 
 
 def mutate(bins: Packing, sizes: list[int], capacity: int, rng) -> Packing:
-    """Dissolve the emptiest bins and a few at random."""
+    """Dissolve the emptiest bins and a few at random; the others take what fills them better in random order."""
     fills = np.array([sum(sizes[i] for i in b) for b in bins])
     gone = set(np.argsort(fills, kind="stable")[:2].tolist()) | set(rng.integers(0, len(bins), max(2, len(bins) // 50)).tolist())
     loose = [i for n in sorted(gone) for i in bins[n]]
-    kept = [list(b) for n, b in enumerate(bins) if n not in gone]
+    kept = [list(bins[n]) for n in rng.permutation(len(bins)).tolist() if n not in gone]
     return best_fit(kept, replaced(kept, loose, sizes, capacity), sizes, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, elites: list[Packing], generations: int, population: int, seed: int) -> Packing:
     """The best packing of one island after some generations, or one that meets the lower bound and so is the best there is.
 
-    The first population is best fit in order of size and in random orders.
+    The first population is best fit in order of size and in random orders, and tight fit.
     """
     rng = np.random.default_rng(seed)
     least = lower_bound(sizes, capacity)
     everything = list(range(len(sizes)))
     pool = [*elites] or [best_fit([], everything, sizes, capacity)]
+    if not elites and len(pool[0]) > least:
+        pool.append(tight_fit(sizes, capacity))
     while len(pool) < population and min(map(len, pool)) > least:
         half = set(rng.permutation(len(sizes))[: len(sizes) // 2].tolist())
         first = best_fit([], sorted(half), sizes, capacity)
@@ -195,7 +224,10 @@ def evolve(sizes: list[int], capacity: int, elites: list[Packing], generations:
         if len(pool[0]) <= least:
             break
         a, b = np.sort(rng.integers(0, len(pool), 2))
-        child = mutate(crossover(pool[int(a)], pool[int(b)], sizes, capacity, rng), sizes, capacity, rng)
+        mother = pool[int(a)]
+        if rng.random() < CROSSED:
+            mother = crossover(mother, pool[int(b)], sizes, capacity, rng)
+        child = mutate(mother, sizes, capacity, rng)
         pool = sorted([*pool, child], key=score, reverse=True)[:population]
     return pool[0]
 

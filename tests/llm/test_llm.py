@@ -331,11 +331,21 @@ def test_evolution_beats_best_fit():
     for bins in (40, 100):
         sizes = hard_sizes(rng, bins)
         plain = len(packing.best_fit([], list(range(len(sizes))), sizes, 1000))
-        best = packing.evolve(sizes, 1000, [], 40, 8, 1)
+        best = packing.evolve(sizes, 1000, [], 80, 8, 1)
         assert sorted(i for b in best for i in b) == list(range(len(sizes))) and max(sum(sizes[i] for i in b) for b in best) <= 1000
         assert len(best) - bins <= (plain - bins) / 2 and plain > bins
 
 
+def test_evolution_reaches_the_bound():
+    for low, high, gain in ((900, 1700, 40), (1000, 2500, 3), (1200, 1800, 35)):
+        rng = random.Random(1)
+        sizes = [rng.randint(low, high) for _ in range(2000)]
+        plain = len(packing.best_fit([], list(range(2000)), sizes, 4096))
+        best = packing.evolve(sizes, 4096, [], 80, 8, 1)
+        assert sorted(i for b in best for i in b) == list(range(2000)) and max(sum(sizes[i] for i in b) for b in best) <= 4096
+        assert packing.lower_bound(sizes, 4096) <= len(best) <= plain - gain
+
+
 def test_islands_beat_best_fit(spark):
     sizes = hard_sizes(random.Random(7), 120)
     counts = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens bigint")
