@@ -122,6 +122,16 @@ def alpha(number: Column) -> Column:
     return F.when((number >= 1) & (number <= 18278), made)
 
 
+def normalized(text: Column, form: str = "NFC") -> Column:
+    """A Unicode normal form, in Arrow batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def made(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None else unicodedata.normalize(form, x))
+
+    return made(text)
+
+
 def tone_pairs() -> list[tuple[str, str]]:
     """(old, new) places of the tone mark in oa, oe and uy, in lower, title and upper case."""
     out = []

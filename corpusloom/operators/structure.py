@@ -161,6 +161,34 @@ def packed_segments(segments: Column, target: int, whole: int) -> Column:
     return F.when(F.length(F.array_join(segments, "\n")) <= whole, one).otherwise(F.aggregate(segments, F.array().cast(kind), add))
 
 
+def sized_chunks(rows: DataFrame, key: str, segments: str, target: int, hard: int, whole: int) -> DataFrame:
+    """(key, pos, piece): segments packed in order to ``target`` characters; one longer than ``hard`` is cut softly first.
+
+    A text of at most ``whole`` characters is one chunk. No chunk is longer than the largest of the three limits.
+    """
+    small = rows.where(F.size(segments) > 0).select(key, F.col(segments).alias("_s"))
+
+    def chunks(listed: list[str]) -> list[str]:
+        listed = [x for x in listed if x]
+        if len(full := "\n".join(listed)) <= whole:
+            return [full] if full else []
+        out: list[str] = []
+        for part in (p for x in listed for p in ([x] if len(x) <= hard else soft_pieces(x, hard))):
+            if out and len(out[-1]) + 1 + len(part) <= target:
+                out[-1] += "\n" + part
+            else:
+                out.append(part)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(i, n, c) for i, listed in enumerate(batch.column("_s").to_pylist()) for n, c in enumerate(chunks(listed or []))]
+            index = pa.array([r[0] for r in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(index), pa.array([r[1] for r in made], pa.int32()), pa.array([r[2] for r in made], pa.string())], names=[key, "pos", "piece"])
+
+    return small.mapInArrow(run, f"`{key}` {small.schema[key].dataType.simpleString()}, pos int, piece string")
+
+
 def token_windows(words: Column, width: int, overlap: int, header: int = 0) -> Column:
     """array<array<string>>: windows of ``width`` words, each ``overlap`` words into the one before; the first ``header`` words head all."""
     step = width - overlap

@@ -23,6 +23,13 @@ def tone_marks(t):
     return t("documents").where("title is not null").select("doc_id", X.tones_moved(F.col("title")).alias("title"))
 
 
+@query("SELECT DISTINCT law_name, nfc_normalize(law_name) nfc, length(nfc_normalize(law_name)) n FROM legal_knowledge_records WHERE law_name IS NOT NULL")
+def normal_form(t):
+    """Names in composed form."""
+    names = t("legal_knowledge_records").where("law_name is not null").select("law_name").distinct()
+    return names.withColumn("nfc", X.normalized(F.col("law_name"))).withColumn("n", F.length("nfc").cast("bigint"))
+
+
 _TAILS = [r"năm 20\d\d", "bản nháp", "toàn văn"]
 
 

@@ -111,6 +111,18 @@ def pack_chunks(t):
     return t("documents").where("text is not null").select("doc_id", F.posexplode(packed).alias("chunk", "c")).select("doc_id", "chunk", F.col("c.body").alias("body"))
 
 
+@query("WITH p AS (SELECT id, content FROM legal_knowledge_records WHERE trim(content) <> '') SELECT count(DISTINCT id) n_records, true in_limits, true complete FROM p")
+def clause_chunks(t):
+    """Clauses packed to 900 characters, longer ones than 1,200 cut softly: whether the limits hold and all words are kept."""
+    r = t("legal_knowledge_records").where("trim(content) <> ''").select("id", "content").distinct()
+    parts = r.withColumn("k", F.struct("id", F.xxhash64("content").alias("h"))).withColumn("s", F.transform(structure.numbered_clauses(F.col("content")), lambda b: b["body"]))
+    chunks = structure.sized_chunks(parts, "k", "s", 900, 1200, 1200)
+    words = lambda c: F.regexp_count(c, F.lit(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"))
+    per = chunks.groupBy("k").agg(F.max(F.length("piece")).alias("m"), F.sum(words("piece")).alias("n"))
+    both = parts.select("k", words("content").alias("want")).join(per, "k", "left")
+    return both.agg(F.count_distinct("k.id").alias("n_records"), (F.max("m") <= 1200).alias("in_limits"), F.every(F.coalesce(F.col("n"), F.lit(0)) == F.col("want")).alias("complete"))
+
+
 _WD = r"regexp_extract_all(text, '[^ \t\n\r\f\x0b]+')"
 
 
@@ -272,6 +284,16 @@ def knn_lists(t):
 @query("SELECT count(*) n_queries, true at_least FROM embeddings WHERE vec_id % 20 = 0")
 def knn_lists_recall(t):
     """Whether nine in ten of the exact neighbours are among the approximate ones."""
-    exact, near = ranking.knn(_vectors(t)).select("qid", "item_id"), sequential.knn_lists(_vectors(t)).select("qid", "item_id").withColumn("hit", F.lit(1))
+    return _recall(t, sequential.knn_lists(_vectors(t)))
+
+
+@query("SELECT count(*) n_queries, true at_least FROM embeddings WHERE vec_id % 20 = 0")
+def knn_prefetch_recall(t):
+    """The same of the search in two stages."""
+    return _recall(t, sequential.knn_two_stage(_vectors(t)))
+
+
+def _recall(t, found):
+    exact, near = ranking.knn(_vectors(t)).select("qid", "item_id"), found.select("qid", "item_id").withColumn("hit", F.lit(1))
     per = exact.join(near, ["qid", "item_id"], "left").groupBy("qid").agg(F.count("hit").alias("hit"), F.count("*").alias("n"))
     return per.agg(F.count("*").alias("n_queries"), (F.sum("hit") >= 0.9 * F.sum("n")).alias("at_least"))

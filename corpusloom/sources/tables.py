@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if it is one file, which may give a single part; a table of several files stays as it is."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    """``df`` over all cores if it is one file of fewer than half as many parts; a table of several files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
