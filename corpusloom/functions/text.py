@@ -319,19 +319,25 @@ def from_latin1(text: Column) -> Column:
     return F.when(fits, F.decode(data, "UTF-8")).otherwise(text)
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: inside a lambda function an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def mentions(text: Column, pattern: str) -> Column:
     """array<struct<text, at>>: every match of a pattern without groups, with its place from 0."""
     found = F.coalesce(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.array().cast("array<string>"))
-    gaps = F.split(text, pattern)
     kind = "struct<at:int,out:array<struct<text:string,at:int>>>"
 
-    def add(state: Column, k: Column) -> Column:
-        at = state["at"] + F.length(F.get(gaps, k))
-        return F.struct((at + F.length(F.get(found, k))).alias("at"), F.concat(state["out"], F.array(F.struct(F.get(found, k).alias("text"), at.alias("at")))).alias("out"))
+    def add(state: Column, x: Column) -> Column:
+        at = state["at"] + F.length(x["gap"])
+        here = F.struct(x["text"].alias("text"), at.alias("at"))
+        return F.struct((at + F.length(x["text"])).alias("at"), F.concat(state["out"], F.array(here)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out")).cast(kind)
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, add, lambda s: s["out"])
+    # as many gaps as matches: the last piece of the split stands behind all of them
+    pairs = bound(found, lambda f: F.zip_with(F.slice(F.split(F.coalesce(text, F.lit("")), pattern), F.lit(1), F.size(f)), f, lambda gap, m: F.struct(gap.alias("gap"), m.alias("text"))))
+    return F.aggregate(pairs, start, add, lambda s: s["out"])
 
 
 def segmented(df, column: str, segmenter: Callable[[str], list[str]] | None = None):

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import bound
 from corpusloom.sources.tables import first_delivery
 
 #: Private signs; where a field holds one of them itself, it stands as ``KEPT`` and its number until the end.
@@ -103,7 +104,7 @@ def packed_values(field: Column, rules: list[tuple[str, str]]) -> Column:
     text = (
         F.when(simple, _ruled(field, rules))
         .when(container, F.array_join(F.transform(pieces, in_container), ""))
-        .otherwise(F.get(F.transform(F.array(pieces), lambda ps: F.array_join(F.transform(ps, in_text(ps)), "")), F.lit(0)))  # bound once
+        .otherwise(bound(pieces, lambda ps: F.array_join(F.transform(ps, in_text(ps)), "")))
     )
     values = F.transform(F.split(text, SEP), lambda v: trimmed(_given_back(F.translate(v, ESCAPED_QUOTE + ESCAPED_SLASH, '"\\'))))
     return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))

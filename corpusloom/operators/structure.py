@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import bound
+
 _BLOCKS = "array<struct<label:string,body:string>>"
 
 
@@ -192,10 +194,14 @@ def sized_chunks(rows: DataFrame, key: str, segments: str, target: int, hard: in
 def token_windows(words: Column, width: int, overlap: int, header: int = 0) -> Column:
     """array<array<string>>: windows of ``width`` words, each ``overlap`` words into the one before; the first ``header`` words head all."""
     step = width - overlap
-    head = F.slice(words, F.lit(1), F.lit(header)) if header else F.array().cast("array<string>")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - overlap, F.lit(1)), F.lit(step))
-    cut = F.transform(starts, lambda i: F.when(i == 1, F.slice(words, i, F.lit(width))).otherwise(F.concat(head, F.slice(words, i, F.lit(width)))))
-    return F.when(F.size(words) > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(w: Column) -> Column:
+        head = F.slice(w, F.lit(1), F.lit(header)) if header else F.array().cast("array<string>")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - overlap, F.lit(1)), F.lit(step))
+        windows = F.transform(starts, lambda i: F.when(i == 1, F.slice(w, i, F.lit(width))).otherwise(F.concat(head, F.slice(w, i, F.lit(width)))))
+        return F.when(F.size(w) > 0, windows).otherwise(F.array().cast("array<array<string>>"))
+
+    return bound(words, cut)
 
 
 def citation_keys(article: Column, clauses: Column, letters: Column) -> Column:
