@@ -216,7 +216,7 @@ def citation_modes(t):
 
     r = _orders(t.spark, t.folder)
     x = _recent(t.spark, t.folder).where("rank <= 3").select("qid", "item_id").withColumn("s", F.lit(True))
-    m = r.join(x, ["qid", "item_id"], "left").withColumn("s", F.coalesce("s", F.lit(False))).withColumn("mode_", F.array(F.lit("top"), F.lit("both"), F.lit("all"))[(F.col("qid") % 3).cast("int")])
+    m = r.join(x, ["qid", "item_id"], "left").withColumn("s", F.coalesce("s", F.lit(False))).withColumn("mode_", F.get(F.array(F.lit("top"), F.lit("both"), F.lit("all")), (F.col("qid") % 3).cast("int")))
     keep = F.when(F.col("mode_") == "top", F.col("rank") <= 2).when(F.col("mode_") == "both", (F.col("rank") <= 5) & F.col("s")).otherwise(F.col("s"))
     return m.where(keep).select("qid", "item_id", "mode_")
 

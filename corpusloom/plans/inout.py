@@ -56,7 +56,7 @@ def parquet_parts(t):
     """Written in parts by a column and read with that column from the path."""
     path = scratch(t.spark, "parts")
     t("legal_effectiveness").where("eff_code <> ''").select("id", "document_number", "eff_code").write.partitionBy("eff_code").parquet(path)
-    return t.spark.read.parquet(path).select("id", "document_number", "eff_code")
+    return t.spark.read.schema("id bigint, document_number string, eff_code string").parquet(path)
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
