@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import functions as F
-
 from corpusloom.llm import canon, leakage, mojibake, neardup, normalize, packing, split
 from corpusloom.plans.general import trees_sql
 from corpusloom.session import tune
