@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranking import numbered_within
+
 
 def f2_of(p: Column, r: Column) -> Column:
     """5PR / (4P + R); 0 where both are 0."""
@@ -69,9 +71,10 @@ def stages(pred: DataFrame, gold: DataFrame, cuts: list[tuple[str, int]], loss:
 
 def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, mean, p50, p95): the median, and the value at place floor(0.95 n) in order from groups of five on."""
-    from pyspark.sql.window import Window
-
-    placed = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(value))).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    at = F.max(F.when((F.col("_n") >= 5) & (F.col("_k") == F.floor(0.95 * F.col("_n")) + 1), F.col(value)))
-    out = placed.groupBy(group).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.median(value), 6).alias("p50"), F.round(at, 6).alias("p95"))
-    return rows.groupBy(group).agg(F.count("*").alias("n")).join(out, group, "left")
+    placed = numbered_within(rows.where(F.col(value).isNotNull()).select(group, value), group, value)
+    k, n = F.col("place"), F.col("n")
+    at = F.max(F.when((n >= 5) & (k == F.floor(0.95 * n) + 1), F.col(value)))
+    middle = F.avg(F.when(k.isin(F.floor((n + 1) / 2), F.floor(n / 2) + 1), F.col(value)))
+    out = placed.groupBy(group).agg(F.round(F.avg(value), 4).alias("mean"), F.round(middle, 6).alias("p50"), F.round(at, 6).alias("p95"))
+    all_ = rows.groupBy(group).agg(F.count("*").alias("n")).withColumnRenamed(group, "_g")
+    return all_.join(out, F.col("_g").eqNullSafe(F.col(group)), "left").select(F.col("_g").alias(group), "n", "mean", "p50", "p95")

@@ -31,6 +31,17 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").withColumn("rank", (place + F.col("_start")).cast("int")).drop("_part", "_start")
 
 
+def numbered_within(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``place`` from 1 and ``n`` within each group, in an order that is total, however large a group is.
+
+    The whole table is numbered by ranges, and each group's first number is taken off; no task holds a group.
+    """
+    placed = numbered(df, group, *order)
+    sizes = placed.groupBy(group).agg(F.min("rank").alias("_s"), F.count("*").alias("n")).withColumnRenamed(group, "_g")
+    joined = placed.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("place", F.col("rank") - F.col("_s") + 1).drop("rank", "_s", "_g")
+
+
 def top_k(df: DataFrame, k: int) -> DataFrame:
     return ranked(df).where(F.col("rank") <= k)
 

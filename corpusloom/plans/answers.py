@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as X
-from corpusloom.operators import cutoffs, matching, ranking, selection, versions
+from corpusloom.operators import cutoffs, ranking, selection, versions
 from corpusloom.plans.named import Named
-from corpusloom.plans.retrieval import _JUDGED, _R, _judged, _orders
-from corpusloom.plans.selects import _C, _RANKED, _candidates, _hits
+from corpusloom.plans.retrieval import _R, _orders
+from corpusloom.plans.selects import _C, _RANKED, _candidates
 
 query = Named()
 _OUT = ("qid", "item_id", "score", "rank")
@@ -65,6 +65,7 @@ def evidence_scores(t):
     s = _candidates(t).where("rank <= 8").join(q, "qid").withColumn("tw", words("text")).withColumn("nw", words("name"))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
     numbers = F.filter("aw", lambda x: x.rlike(r"^\d+$"))
+    # Weights of question in text and title, answer in text, its numbers, and the loss per rank.
     score = F.col("score") / 100 + 0.26 * share(F.col("qw"), F.col("tw")) + 0.18 * share(F.col("qw"), F.col("nw")) + 0.12 * share(F.col("aw"), F.col("tw")) + 0.14 * share(numbers, F.col("tw")) - 0.03 * (F.col("rank") - 1)
     return ranking.ranked(s.select("qid", "item_id", F.round(score, 6).alias("score")))
 
@@ -95,6 +96,7 @@ def clause_cover(t):
     clauses = F.transform(X.clauses(F.col("question"), r",[ ]*còn[ ]+|[ ]+khi[ ]+|[ ]+thì[ ]+", 15, 5), lambda c: F.array_distinct(F.filter(X.tokens(c), lambda w: F.length(w) >= 3)))
     q = t("eval_items").where("question is not null").select(F.col("id").alias("qid"), clauses.alias("cl"))
     rows = _candidates(t).where("rank <= 16").join(q, "qid").select(*_OUT, "cl", F.array_distinct(X.tokens(F.col("text"))).alias("ws"))
+    # Least score of all, and least share of a clause that adds an item; the other two suit these data.
     return selection.covering(rows, "cl", "ws", 0.97, 0.34, 4, 0.75, 0.42).select(*_OUT)
 
 

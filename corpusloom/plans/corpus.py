@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as X
 from corpusloom.operators import nested, parsing, references, validity
 from corpusloom.operators.packed import articles_of, references_of
+from corpusloom.operators.ranking import numbered_within
 from corpusloom.plans.general import REFERENCES_SQL, trees_sql
 from corpusloom.session import tune
 from corpusloom.sources.tables import first_delivery, table
@@ -315,8 +316,7 @@ def quality_dedup(t):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) rn, count(*) OVER (PARTITION BY source) n FROM documents) WHERE (rn - 1) % greatest(1, n // 5) = 0 AND (rn - 1) // greatest(1, n // 5) < 5")
 def systematic_sample(t):
-    w = Window.partitionBy("source")
-    s = t("documents").select("doc_id", F.row_number().over(w.orderBy("doc_id")).alias("rn"), F.greatest(F.lit(1), F.floor(F.count("*").over(w) / 5)).alias("step"))
+    s = numbered_within(t("documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", F.col("place").alias("rn"), F.greatest(F.lit(1), F.floor(F.col("n") / 5)).alias("step"))
     return s.where("(rn - 1) % step = 0 and floor((rn - 1) / step) < 5").select("doc_id")
 
 

@@ -198,6 +198,7 @@ def metadata_scores(t):
     """Expired, local, primary and recent texts: four corrections of a score."""
     gone = t("legal_effectiveness").where("eff_code = 'het_hieu_luc'").select(references.law_code(F.col("document_number")).alias("code")).where("code is not null").distinct().withColumn("_x", F.lit(True))
     c = _candidates(t).join(F.broadcast(gone), "code", "left")
+    # What expired, local, primary and later texts lose or gain.
     more = F.when(F.col("_x"), -0.10).otherwise(0.0) + F.when(F.col("kind") == "QĐ-TTX", -0.05).otherwise(0.0) + F.when(F.col("kind") == "LX", 0.02).otherwise(0.0) + F.when(F.col("y") > 0, F.least(F.lit(0.05), 0.002 * (F.col("y") - 2000))).otherwise(0.0)
     return c.select("qid", "item_id", F.round(F.col("score") + more, 6).alias("score"))
 
@@ -211,6 +212,7 @@ def graph_scores(t):
     x = t("legal_effectiveness").where("eff_code in ('het_hieu_luc', 'con_hieu_luc')").select(references.law_code(F.col("document_number")).alias("code"), "eff_code").where("code is not null")
     flags = x.groupBy("code").agg(F.max((F.col("eff_code") == "het_hieu_luc").cast("int")).alias("gone"), F.max((F.col("eff_code") == "con_hieu_luc").cast("int")).alias("holds"))
     c = _candidates(t).join(F.broadcast(flags), "code", "left").na.fill(0, ["gone", "holds"])
+    # What obsolete and current texts lose and gain, and the weight of the gain.
     score = F.col("score") - 0.12 * F.col("gone") + 0.16 * F.col("holds") * 0.35 + F.expr(_CUTOFF).cast("double") + F.when(F.col("name").contains("chi tiết"), 0.01).otherwise(0.0)
     return c.select("qid", "item_id", F.round(score, 6).alias("score"))
 

@@ -193,6 +193,19 @@ def test_numbers_over_a_whole_table(spark):
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rank)] == sorted(rows) and sorted(r.rank for r in got) == list(range(1, 501))
 
 
+def test_numbers_within_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 30), i) for i in range(400)]
+    got = ranking.numbered_within(spark.createDataFrame(rows, "g string, v int, i int"), "g", "v", "i").collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        listed = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+        want |= {r[2]: (k, len(listed)) for k, r in enumerate(listed, 1)}
+    assert {r.i: (r.place, r.n) for r in got} == want
+    values = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), ("c", 2.0), *[("d", float(x)) for x in range(20)]], "g string, v double")
+    assert {r.g: (r.n, r.p50, r.p95) for r in evaluate.summary(values, "g", "v").collect()} == {"a": (2, 2.0, None), "b": (1, None, None), "c": (1, 2.0, None), "d": (20, 9.5, 19.0)}
+
+
 def test_window_negatives(spark):
     hits = spark.createDataFrame([(1, i, 1.0 - i / 1000, i + 1) for i in range(100)], "qid int, item_id int, score double, rank int")
     pos = spark.createDataFrame([(1, 30), (2, 5)], "qid int, pos int")
