@@ -41,14 +41,14 @@ FEW_EDITS = 2
 EXTRA_WORDS = 3
 #: Letters from which a name that is not marked as cut off may be one: a document type alone names no entry.
 LEAST_OPEN = 14
-_CODE = re.compile(r"(\d{1,4})\s*/\s*(\d{4})\s*/\s*([a-z]{1,5}(?:\s*-\s*[a-z]{1,5})?)")
+_CODE = re.compile(r"(\d{1,4})\s*/\s*(\d{4})\s*/\s*([a-z]{1,5}(?:-[a-z]{1,5}|\s*-\s*[a-z]{1,3}(?![a-z]))?)")
 #: A code tail with digits too many or too few.
-_NEAR_CODE = re.compile(r"(?:\bso\s+)?\b\d{1,6}\s*/\s*\d{1,6}\s*/\s*[a-z]{1,5}(?:\s*-\s*[a-z]{1,5})?\b")
+_NEAR_CODE = re.compile(r"(?:\bso\s+)?\b\d{1,6}\s*/\s*\d{1,6}\s*/\s*[a-z]{1,5}(?:-[a-z]{1,5}|\s*-\s*[a-z]{1,3}(?![a-z]))?\b")
 _SO = re.compile(r"\bso\s+(?=\d{1,6}\s*/)")
 _BRACKETS = re.compile(r"\([^()]*\)?|\[[^\[\]]*\]?")
 _CUT = re.compile(r"(?:\.{2,}|…|\bv\s*\.\s*v\b\.?)")
 _TELEX_WORD = re.compile(r"(?<![^\W\d_])[a-z]+(?![^\W\d_])")
-_PART = re.compile(r"\s+[-–—]\s+|\s*,\s*|\s*;\s*")
+_PART = re.compile(r"\s*[-–—]{2,}\s*|\s+[-–—]\s*|\s*[-–—]\s+|\s*,\s*|\s*;\s*")
 _KEY_WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -92,10 +92,13 @@ def reading(name: str) -> tuple[str, str, bool, list[str]]:
 
 
 def part_keys(text: str, most: int) -> list[str]:
-    """Keys of at most ``most`` letters: the text, and around each comma or dash right before left, and left alone."""
+    """Keys of at most ``most`` letters: the text, around each comma or dash right before left, and left alone; last part before first."""
     whole = squeezed(text)
     keys = [whole] if len(whole) <= most else []
     at = done = 0
+    parts = _PART.split(text)
+    if len(parts) > 2:
+        keys.append(squeezed(parts[-1] + parts[0]))
     for m in _PART.finditer(text):
         at += len(squeezed(text[done : m.start()]))
         done = m.start()
@@ -104,7 +107,7 @@ def part_keys(text: str, most: int) -> list[str]:
         if at > most:
             break
         keys.append(whole[:at])
-    return [k for k in dict.fromkeys(keys) if k]
+    return [k for k in dict.fromkeys(keys) if 0 < len(k) <= most]
 
 
 def trimmed_keys(text: str, most: int, n: int) -> list[str]:

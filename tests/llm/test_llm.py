@@ -196,6 +196,8 @@ def test_notes_around_a_name():
     assert trie.resolve("Luật Bảo hiểm tháp chuôg bãi giữa - " + note)[0] == "1/2030/LX"
     assert trie.resolve("Toàn văn Luật Bảo hiểm tháp chuông bãi giữa bản scan")[0] == "1/2030/LX"
     assert trie.resolve("Luật Bảo hiểm tháp chuông bãi giữa năm 2034")[0] == "1/2030/LX"
+    assert trie.resolve("tháp chuông bãi giữa-- Luật Bảo hiểm")[0] == "1/2030/LX" and trie.resolve("tháp chuông bãi giữa, 2032, Luật Bảo hiểm")[0] == "1/2030/LX"
+    assert trie.resolve("chuong bai giua so 1/2030/LX - Luat Bao hiem thap")[0] == "1/2030/LX"
     assert trie.resolve(note)[0] == "" and trie.resolve(", " * 50_000 + "x")[0] == ""
 
 
