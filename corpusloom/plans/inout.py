@@ -155,7 +155,6 @@ def table_function(t):
 @query("SELECT n_nationkey, n_name, NULL::VARCHAR note FROM nation")
 def database_scan(t):
     """A table of a database over JDBC, in partitions of its key, with nulls for a column it does not have."""
-    url = f"jdbc:derby:memory:{scratch(t.spark, 'db').rsplit('/', 1)[1]};create=true"
-    t("nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name").coalesce(1).write.mode("overwrite").option("createTableColumnTypes", "n_name VARCHAR(64)").jdbc(url, "nation", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    url = connectors.packed_database(t("nation"), scratch(t.spark, "db"), "nation", {"n_nationkey": "INTEGER", "n_name": "VARCHAR(32672)"})
     read = connectors.read_database(t.spark, url, "nation", ["n_nationkey", "n_name", "note"], driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", partitionColumn="n_nationkey", lowerBound="0", upperBound="25", numPartitions="4")
     return read.select("n_nationkey", "n_name", F.col("note").cast("string").alias("note"))
